@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op6_rotated_code_links
+from .language_id import op1_language_mixture
 from .packing import op4_minimum_slack_packing
 from .simhash import op10_simhash_components
 from .token_counts import op3_length_histogram
 from .token_output import op2_simple8b_tokens
+from .toxicity import op9_lexicon_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_mixture,
         op2_simple8b_tokens,
         op3_length_histogram,
         op4_minimum_slack_packing,
+        op6_rotated_code_links,
+        op9_lexicon_toxicity,
         op10_simhash_components,
     )
 }
