@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
+from .chat import op5_chat_format
+from .decontaminate import op8_template_matches
 from .embedding_dedup import op6_rotated_code_links
 from .language_id import op1_language_mixture
 from .packing import op4_minimum_slack_packing
@@ -13,6 +16,7 @@ from .simhash import op10_simhash_components
 from .token_counts import op3_length_histogram
 from .token_output import op2_simple8b_tokens
 from .toxicity import op9_lexicon_toxicity
+from .url_filter import op7_link_trust
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,10 +25,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_simple8b_tokens,
         op3_length_histogram,
         op4_minimum_slack_packing,
+        op5_chat_format,
         op6_rotated_code_links,
+        op7_link_trust,
+        op8_template_matches,
         op9_lexicon_toxicity,
         op10_simhash_components,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {op5_chat_format.__name__: chat.ORACLE}

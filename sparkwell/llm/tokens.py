@@ -11,7 +11,7 @@ import pyarrow as pa
 
 BLANK = str.maketrans("\t\n\r", "   ")
 #: Words that one worker remembers, in two generations; at about 250 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def default_vocabulary() -> str:
