@@ -16,6 +16,8 @@ from .tokens import texts_of
 THRESHOLD = 0.7
 #: A word needs so many toxic documents, and this share of its documents must be toxic.
 LEAST_DOCS, LEAST_SHARE = 3, 0.6
+#: Labelled documents that the lexicon and its calibration are learned from, about.
+TRAINING_ROWS = 30_000
 #: Lengths of the word beginnings that may be listed besides whole words.
 STEMS = (4, 5, 6, 7)
 #: The lexicon holds the strongest words only; more than this many are never needed to tell.
@@ -218,10 +220,15 @@ def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the rows outside the held-out fold; of a document's repeated labels the largest counts."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, *, most: int = TRAINING_ROWS) -> DataFrame:
+    """(text, toxic) of rows outside the held-out fold, about ``most`` of them, drawn by a hash of their ids.
+
+    The drawn ids are so few that they are broadcast, so no text is shuffled. Of a document's repeated labels the largest counts.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where(~held_out()).select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+    n = max(known.count(), 1)
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most)
+    return docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
 
 
 def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
