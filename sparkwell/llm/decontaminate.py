@@ -12,7 +12,7 @@ WINDOW, COVERED = 5, 0.8
 #: Literal words that a window needs, so that runs of slots alone match nothing.
 LITERALS = 3
 #: Bits of the map that says which windows a benchmark has; more windows only let more through to the join.
-MAP_BITS = 1 << 20
+MAP_BITS = 1 << 19
 #: Units that may follow a number.
 UNITS = "km|cm|mm|m|mi|miles?|inch(?:es)?|feet|ft|kg|mg|g|lbs?|oz|tons?|l|ml|liters?|litres?|hours?|hrs?|h|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|mph|kmh|dollars?|cents?|euros?|pounds?|percent|degrees?"
 
@@ -39,37 +39,49 @@ def kind(word: Column) -> Column:
     return F.when(word.startswith("\u0001"), F.substring(word, 1, 2)).otherwise(word)
 
 
-def windows(rows: DataFrame, keep: Column | None = None) -> DataFrame:
-    """Adds ``w``: (at, hash) of each window of template words that has literals enough. ``rows`` has a column words.
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there and wherever the optimiser moves the whole."""
+    return F.transform(F.array(value), use)[0]
+
+
+def windows(text: Column, keep: Column | None = None) -> Column:
+    """Array of (at, hash, words): the windows of template words that have literals enough.
 
     ``keep`` is an array of 64-bit pieces of a bit map; only windows whose bit is set stay.
     """
-    hashed = rows.withColumn("k", F.transform("words", lambda w: F.xxhash64(kind(w))))
-    slots = F.transform("words", lambda w: w.startswith("\u0001").cast("int"))
-    hashed = hashed.withColumn("open", F.when(F.exists("words", lambda w: w.startswith("\u0001")), slots))
-    starts = F.when(F.size("k") >= WINDOW, F.sequence(F.lit(0), F.size("k") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    part = lambda i, j: F.get(F.col("k"), i + j)
-    made = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(*[part(i, j) for j in range(WINDOW)]).alias("hash")))
-    few = lambda i: F.aggregate(F.slice("open", i + 1, WINDOW), F.lit(0), lambda a, b: a + b) <= WINDOW - LITERALS
 
-    def stays(w: Column) -> Column:
-        enough = F.when(F.col("open").isNull(), F.lit(True)).otherwise(few(w["at"]))
-        if keep is None:
-            return enough
-        slot = F.pmod(w["hash"], F.lit(MAP_BITS))
-        piece = F.get(keep, F.shiftright(slot, 6).cast("int"))
-        return (F.getbit(piece, (slot % 64).cast("int")) == 1) & enough
+    def from_words(words: Column) -> Column:
+        hashes = F.transform(words, lambda w: F.xxhash64(kind(w)))
+        # Most texts have no slot; only the others have their slots counted.
+        slots = F.when(F.exists(words, lambda w: w.startswith("\u0001")), F.transform(words, lambda w: w.startswith("\u0001").cast("int")))
+        return let(F.struct(hashes.alias("k"), slots.alias("open")), lambda x: from_hashes(words, x["k"], x["open"]))
+
+    def from_hashes(words: Column, k: Column, slots: Column) -> Column:
+        starts = F.when(F.size(k) >= WINDOW, F.sequence(F.lit(0), F.size(k) - WINDOW)).otherwise(F.array().cast("array<int>"))
+        made = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(k, i + j) for j in range(WINDOW)]).alias("hash")))
 
-    return hashed.withColumn("w", F.filter(made, stays))
+        def stays(w: Column) -> Column:
+            few = F.aggregate(F.slice(slots, w["at"] + 1, WINDOW), F.lit(0), lambda a, b: a + b) <= WINDOW - LITERALS
+            enough = F.when(slots.isNull(), F.lit(True)).otherwise(few)
+            if keep is None:
+                return enough
+            slot = F.pmod(w["hash"], F.lit(MAP_BITS))
+            piece = F.get(keep, F.shiftright(slot, 6).cast("int"))
+            return (F.getbit(piece, (slot % 64).cast("int")) == 1) & enough
+
+        return F.transform(F.filter(made, stays), lambda w: F.struct(w["at"].alias("at"), w["hash"].alias("hash"), F.slice(words, w["at"] + 1, WINDOW).alias("words")))
+
+    return let(slotted(text), from_words)
 
 
 def bit_map(hashes: DataFrame) -> Column:
-    """A literal array of MAP_BITS bits with those of the hashes set: of one size, however many hashes."""
+    """A constant array of MAP_BITS bits with those of the hashes set: of one size, however many hashes there are."""
     slot = F.pmod("hash", F.lit(MAP_BITS))
-    piece = F.floor(slot / 64).cast("int").alias("piece")
-    rows = hashes.select(piece, F.expr(f"shiftleft(1L, cast(pmod(hash, {MAP_BITS}) % 64 as int))").alias("bit")).groupBy("piece").agg(F.bit_or("bit").alias("bits"))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(hash, {MAP_BITS}) % 64 as int))").alias("bit")
+    rows = hashes.select(F.floor(slot / 64).cast("int").alias("piece"), bit).groupBy("piece").agg(F.bit_or("bit").alias("bits"))
     bits = {r.piece: r.bits for r in rows.collect()}  # MAP_BITS / 64 rows at most
-    return F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(MAP_BITS // 64))), ",").cast("array<bigint>")
+    told = ",".join(str(bits.get(i, 0)) for i in range(MAP_BITS // 64))  # one string: a literal for each number is slow to plan
+    return F.split(F.lit(told), ",").cast("array<bigint>")
 
 
 def matches(
@@ -85,16 +97,14 @@ def matches(
     passes is shuffled for the exact join. Null texts are empty. Items of fewer than five words have no window and match nothing.
     Repeated benchmark rows count once; rows with one doc_id count as one document. No rows on a side give none.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), slotted(F.col(item_text)).alias("words")).where(F.size("words") >= WINDOW).distinct()
-    made = windows(items).select("item_id", "words", F.explode("w").alias("w"))
-    item_windows = cut(
-        made.select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.slice("words", F.col("w.at") + 1, WINDOW).alias("item_words"))
-    )
+    # An outer explode, since Spark would filter by the size of the array before a plain one and make the array twice.
+    exploded = lambda df, name, of, keep: df.select(F.col(name).alias("id"), windows(F.col(of), keep).alias("w")).select("id", F.explode_outer("w").alias("w")).where("w is not null")
+    items = exploded(benchmark.select(item_id, item_text).distinct(), item_id, item_text, None)
+    item_windows = cut(items.select(F.col("id").alias("item_id"), F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.col("w.words").alias("item_words")))
     totals = item_windows.groupBy("item_id").agg(F.countDistinct("hash").alias("item_windows"))
 
-    words = docs.select(F.col(doc_id).alias("doc_id"), slotted(F.col(text)).alias("words"))
-    screened = windows(words, bit_map(item_windows.select("hash"))).where(F.size("w") > 0).select("doc_id", "words", F.explode("w").alias("w"))
-    doc_windows = screened.select("doc_id", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"), F.slice("words", F.col("w.at") + 1, WINDOW).alias("words"))
+    screened = exploded(docs, doc_id, text, bit_map(item_windows.select("hash")))
+    doc_windows = screened.select(F.col("id").alias("doc_id"), F.col("w.at").alias("at"), F.col("w.hash").alias("hash"), F.col("w.words").alias("words"))
     met = doc_windows.join(item_windows, "hash").where(F.transform("words", kind) == F.transform("item_words", kind))
     met = cut(met.select("doc_id", "item_id", "hash", (F.col("at") - F.col("item_at")).alias("shift"), "words", "item_words"))
 
