@@ -133,18 +133,16 @@ def encode_rows(docs: DataFrame, *, doc_id: str, text: str, vocabulary: str | No
 
     def code(batches):
         words_of = encoder(path)
-        kind = "<u2" if words_of.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         row = TaskContext.get().partitionId() << 40
-        end = np.array([end_id], "<u4").tobytes()
+        end = words_of.packed([end_id])
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for at in range(0, len(names), 500):
-                some = batch.slice(at, 500)
-                ids = [np.frombuffer(words_of.encode(x) + end, "<u4") for x in texts_of(some, "text")]
+                ids = [words_of.encode(x) + end for x in texts_of(batch.slice(at, 500), "text")]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(range(row, row + len(ids)), pa.int64()), pa.array(names[at : at + 500], pa.int64()),
-                        pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()),
+                        pa.array([len(x) // words_of.width for x in ids], pa.int64()), pa.array(ids, pa.binary()),
                     ],
                     ["row", "doc_id", "n", "ids"],
                 )
@@ -166,7 +164,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def pack(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 1, size: int = SEQUENCE
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 1, size: int = SEQUENCE, digest: bool = False
 ) -> DataFrame:
     """Every document's pieces: (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
 
@@ -174,7 +172,8 @@ def pack(
     ``plan``. Every sequence is full, but for at most log2(size) last ones whose lengths are powers of two.
     Null text is empty and gives the end id alone. Rows are told apart by their place, so null or repeated
     ids and equal rows are packed like any others. An empty table gives no piece. ``ids`` are
-    little-endian, two bytes each for vocabularies of up to 65,536 ids and four bytes otherwise.
+    little-endian, two bytes each for vocabularies of up to 65,536 ids and four bytes otherwise; with ``digest``, their crc32
+    as four-byte integers takes their place.
     """
     spark = docs.sparkSession
     tokens = written(encode_rows(docs, doc_id=doc_id, text=text, vocabulary=vocabulary, end_id=end_id), "packing-ids")
@@ -209,39 +208,28 @@ def pack(
 
     def slice_ids(batches):
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                width = len(row["ids"]) // row["n"]
-                for p in row["pieces"]:
-                    part = row["ids"][p["start"] * width : (p["start"] + p["length"]) * width]
-                    out.append((row["doc_id"], p["start"], p["length"], part, row["n"], p["sequence_id"], p["offset"]))
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    schema = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return tokens.join(pieces, "row").select("doc_id", "n", "ids", "pieces").mapInArrow(slice_ids, schema)
-
+            for at in range(0, batch.num_rows, 500):
+                yield _pieces(batch.slice(at, 500), digest)
 
-def with_digest(pieces: DataFrame) -> DataFrame:
-    """The pieces with the crc32 of their ids, as four-byte integers, instead of the ids."""
+    last = "ids_crc32 bigint" if digest else "ids binary"
+    schema = f"doc_id bigint, start bigint, length bigint, {last}, doc_tokens bigint, sequence_id bigint, offset bigint"
+    return tokens.join(pieces, "row").select("doc_id", "n", "ids", "pieces").mapInArrow(slice_ids, schema)
 
-    def digest(batches):
-        for batch in batches:
-            crcs = []
-            for ids, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist(), strict=True):
-                wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) == 2 * n else ids
-                crcs.append(zlib.crc32(wide))
-            at = batch.schema.get_field_index("ids")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(crcs, pa.int64()) if i == at else batch.column(i) for i in range(batch.num_columns)],
-                ["ids_crc32" if i == at else batch.schema.names[i] for i in range(batch.num_columns)],
-            )
 
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return pieces.mapInArrow(digest, schema)
+def _pieces(batch: pa.RecordBatch, digest: bool) -> pa.RecordBatch:
+    out = []
+    for row in batch.to_pylist():
+        ids, width = row["ids"], len(row["ids"]) // row["n"]
+        if digest and width == 2:
+            ids, width = np.frombuffer(ids, "<u2").astype("<u4").tobytes(), 4
+        for p in row["pieces"]:
+            part = ids[p["start"] * width : (p["start"] + p["length"]) * width]
+            out.append((row["doc_id"], p["start"], p["length"], zlib.crc32(part) if digest else part, row["n"], p["sequence_id"], p["offset"]))
+    columns = list(zip(*out, strict=True)) or [[]] * 7
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "start", "length", "ids_crc32" if digest else "ids", "doc_tokens", "sequence_id", "offset"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def op4_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_digest(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)

@@ -20,7 +20,7 @@ def encoded_lengths(docs: DataFrame, *, text: str = "text", vocabulary: str | No
         words_of, seen = encoder(path), {}
         for batch in batches:
             for one in texts_of(batch, "text"):
-                n = len(words_of.encode(one)) // 4
+                n = len(words_of.encode(one)) // words_of.width
                 seen[n] = seen.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n"]

@@ -37,11 +37,11 @@ def encode_documents(
 
     def code(batches):
         words_of, shard, seq = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = words_of.packed([end_id])
         names, lengths, held, total = [], [], [], 0
 
         def container():
-            ids = np.frombuffer(b"".join(held), "<u4").astype(np.uint64)
+            ids = np.frombuffer(b"".join(held), words_of.kind).astype(np.uint64)
             words, first = encode(ids)
             row = [shard, seq, len(ids), list(names), list(lengths), first.tolist(), words.astype("<u8").tobytes()]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
@@ -52,9 +52,9 @@ def encode_documents(
             for name, one in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
                 ids = words_of.encode(one) + end
                 names.append(name)
-                lengths.append(len(ids) // 4)
+                lengths.append(len(ids) // words_of.width)
                 held.append(ids)
-                total += len(ids) // 4
+                total += len(ids) // words_of.width
                 if total >= CONTAINER_IDS:
                     yield container()
                     seq, total = seq + 1, 0

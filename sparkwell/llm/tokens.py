@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +13,7 @@ import pyarrow as pa
 
 BLANK = str.maketrans("\t\n\r", "   ")
 #: Words that one worker remembers, in two generations; at about 250 bytes each.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def default_vocabulary() -> str:
@@ -28,7 +30,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordEncoder(dict):
-    """Token ids of texts as little-endian unsigned 32-bit integers.
+    """Token ids of texts as little-endian unsigned integers, of 2 bytes for vocabularies of up to 65,536 ids and of 4 otherwise.
 
     The vocabulary's own rules cut at every white space, so the ids of a text are the ids of its
     blank-separated words in order. Each word goes through the library once and is then looked
@@ -42,6 +44,8 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind, self.letter = f"<u{self.width}", "H" if self.width == 2 else "I"
         self.letters = byte_letters()
         self.older: dict[str, bytes] = {}
         # The direct way holds for a vocabulary of this kind only; others take the whole chain per text.
@@ -57,7 +61,12 @@ class WordEncoder(dict):
         return chain == ["NFC", "Replace", "Lowercase"] and before == ["Split", "ByteLevel"]
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def packed(self, ids: list[int]) -> bytes:
+        if sys.byteorder == "little":
+            return array(self.letter, ids).tobytes()
+        return np.array(ids, self.kind).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
@@ -65,10 +74,10 @@ class WordEncoder(dict):
             if word[-1] in ".," and word[:-1].isalpha():
                 found = self[word[:-1]] + self[word[-1]]
             else:
-                low = unicodedata.normalize("NFC", word).lower()
+                low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
                 if low.isalpha() and "σ" not in low and "ς" not in low:
                     spelled = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-                    found = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+                    found = self.packed([t.id for t in self.model.tokenize(spelled)])
                 else:
                     found = self._library(word)
         if len(self) >= REMEMBERED:
