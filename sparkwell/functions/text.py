@@ -10,6 +10,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, although it occurs there often or inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def words(text) -> Column:
     """Runs of a-z and 0-9 of the lower-cased text."""
     return F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9]+"), 0)
@@ -65,9 +70,12 @@ def summary(text, most: int) -> Column:
 
 def trigrams(text) -> Column:
     """The distinct character trigrams of the words written without blanks; a shorter text is its own."""
-    flat = F.array_join(words(text), "")
-    grams = F.transform(F.sequence(F.lit(1), F.length(flat) - 2), lambda i: F.substring(flat, i, F.lit(3)))
-    return F.when(F.length(flat) >= 3, F.array_distinct(grams)).when(F.length(flat) > 0, F.array(flat)).otherwise(F.array().cast("array<string>"))
+
+    def of(flat: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(flat) - 2), lambda i: F.substring(flat, i, F.lit(3)))
+        return F.when(F.length(flat) >= 3, F.array_distinct(grams)).when(F.length(flat) > 0, F.array(flat)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.array_join(words(text), ""), of)
 
 
 def hash31(word: Column) -> Column:
@@ -83,8 +91,12 @@ def fnv1a(word: Column) -> Column:
 
 def set_cosine(a: Column, b: Column) -> Column:
     """Shared members over the geometric mean of the sizes of two distinct arrays; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.sqrt((F.size(a) * F.size(b)).cast("double"))).otherwise(F.lit(0.0))
+
+    def of(x: Column) -> Column:
+        n = F.size(x["a"]) * F.size(x["b"])
+        return F.when(n > 0, F.size(F.array_intersect(x["a"], x["b"])) / F.sqrt(n.cast("double"))).otherwise(F.lit(0.0))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def rounded(x: Column, digits: int) -> Column:

@@ -55,17 +55,19 @@ def lexical(text: Column, width: int = LEXICAL_WIDTH) -> Column:
     return F.pandas_udf(embed, "array<double>")(text)
 
 
-def signed_hash(text: Column, width: int = 256) -> DataFrame:
-    """Struct (features: array of (bucket, weight)) of stems and of pairs of neighbours, by FNV-1a with a hashed sign."""
-    stems = tx.unicode_stems(F.substring(text, 1, 12_000))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(stems) - 2), lambda i: F.concat_ws(" ", F.get(stems, i), F.get(stems, i + 1)))
-    pairs = F.when(F.size(stems) > 1, pairs).otherwise(F.array().cast("array<string>"))
+def signed_hash(text: Column, width: int = 256) -> Column:
+    """Array of (bucket, weight): stems and pairs of neighbours by FNV-1a, with a hashed sign; the first 12,000 characters count."""
 
     def feature(weight: float):
         sign = lambda f: F.when(tx.fnv1a(F.concat(F.lit("sign:"), f)) % 2 == 0, weight).otherwise(-weight)
         return lambda f: F.struct((tx.fnv1a(f) % width).alias("bucket"), sign(f).alias("weight"))
 
-    return F.concat(F.transform(stems, feature(1.0)), F.transform(pairs, feature(0.75)))
+    def of(stems: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(stems) - 2), lambda i: F.concat_ws(" ", F.get(stems, i), F.get(stems, i + 1)))
+        pairs = F.when(F.size(stems) > 1, pairs).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.transform(stems, feature(1.0)), F.transform(pairs, feature(0.75)))
+
+    return tx.let(tx.unicode_stems(F.substring(text, 1, 12_000)), of)
 
 
 def quantised(vector: Column, levels: int) -> Column:
