@@ -1,6 +1,6 @@
 """Named queries over the driver tables, each with the SQL that a second engine runs."""
 
-from . import operations, retrieval
+from . import operations, quality, retrieval
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "operations", "retrieval"]
+__all__ = ["ORACLES", "QUERIES", "operations", "quality", "retrieval"]
