@@ -19,7 +19,7 @@ TRACE = (
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, sha256) of whole text files."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.decode("content", F.lit("UTF-8")).alias("text"), F.sha2("content", 256).alias("sha256"))
+    return raw.select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
 
 
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
