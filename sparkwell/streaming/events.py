@@ -38,10 +38,10 @@ def once(events: DataFrame, key: str = "event_id", within: str = "24 hours") ->
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
 
 
-def limited(events: DataFrame, most: int = 3, window_ms: int = 86_400_000) -> DataFrame:
+def limited(events: DataFrame, most: int = 3, window_ms: int = 86_400_000, late: str = "1 day") -> DataFrame:
     """(event_id, allowed): windows open with a user's first event, last ``window_ms`` and let ``most`` events pass.
 
-    The state of a user is two numbers; it goes when the window is over.
+    The state of a user is two numbers; it goes when the window is over. Rows later than ``late`` are dropped.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,11 +58,10 @@ def limited(events: DataFrame, most: int = 3, window_ms: int = 86_400_000) -> Da
             n += 1
             allowed.append(n <= most)
         state.update((anchor, n))
-        if rows["ts"].max().timestamp() * 1000 + window_ms > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(int(anchor + window_ms) + 1 if anchor + window_ms >= state.getCurrentWatermarkMs() else state.getCurrentWatermarkMs() + 1)
+        state.setTimeoutTimestamp(max(int(anchor + window_ms), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"event_id": rows["event_id"], "allowed": allowed})
 
-    stream = events.withWatermark("ts", "1 day").groupBy("user_id")
+    stream = events.withWatermark("ts", late).groupBy("user_id")
     return stream.applyInPandasWithState(run, "event_id bigint, allowed boolean", "anchor bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 

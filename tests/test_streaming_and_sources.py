@@ -42,7 +42,7 @@ def test_dead_letters(spark):
 
 def test_rate_limit(spark, tmp_path):
     table, stream = stream_of(spark, tmp_path / "e")
-    got = run(ev.limited(stream, most=3, window_ms=10**12), "limited", "append", spark)
+    got = run(ev.limited(stream, most=3, window_ms=10**12, late="40 days"), "limited", "append", spark)
     per_user = table.groupBy("user_id").count().collect()
     assert got.count() == table.count()
     assert got.where("allowed").count() == sum(min(3, r["count"]) for r in per_user)
