@@ -253,7 +253,15 @@ def judged(read):
     return diagnostics(read).join(best, "query_id")
 
 
-@query()
+JUDGED = f"""{DENSE}, top AS (SELECT r.*, c.text, doc_id FROM ranked r JOIN chunks c USING (chunk_id) WHERE rank <= 5),
+di AS (SELECT query_id, count(*) AS results, count(*) FILTER (WHERE score >= 0.2) AS relevant, {r('max(score)', 3)} AS top, {r('avg(score)', 3)} AS mean, count(DISTINCT doc_id) AS sources FROM top GROUP BY 1),
+ws AS (SELECT query_id, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]{{3,}}')) AS a, regexp_extract_all(lower(t.text), '[a-z0-9]{{3,}}') AS b FROM top t JOIN benchmark q ON q.item_id = t.query_id WHERE rank = 1),
+ov AS (SELECT query_id, {r('len(list_intersect(a, b)) / greatest(len(a), 1)::DOUBLE', 3)} AS overlap FROM ws),
+j AS (SELECT * FROM di JOIN ov USING (query_id))"""
+
+
+@query(f"""WITH {JUDGED} SELECT query_id, overlap, CASE WHEN results = 0 OR top < 0.12 THEN 'NOT_FOUND' WHEN top < 0.2 OR overlap < 0.45 THEN 'UNGROUNDED_ANSWER' WHEN {r('0.55::DOUBLE * overlap + 0.45::DOUBLE * mean', 3)} < 0.45 THEN 'PARTIAL_CONTEXT'
+  WHEN {r('0.65::DOUBLE * overlap + 0.35::DOUBLE', 3)} < 0.55 THEN 'LOW_CONFIDENCE' WHEN overlap < 0.35 THEN 'WRONG_CONTEXT' ELSE 'LOW_CONFIDENCE' END AS category FROM j""")
 def failure_taxonomy(read):
     o = F.col("overlap")
     kind = scoring.failure(F.col("results"), F.col("top"), F.col("top") >= 0.2, o, o, o, tx.rounded(0.55 * o + 0.45 * F.col("mean"), 3), F.lit(0), tx.rounded(0.65 * o + 0.35, 3), o)
@@ -300,7 +308,11 @@ def replay_diff(read):
     return counts.withColumn("status", F.when(F.col("added") + F.col("removed") + F.col("reordered") == 0, "matched").otherwise("diverged"))
 
 
-@query()
+@query(f"""WITH {EXPECTED}, {HYBRID}, t AS (SELECT query_id, c.doc_id, min(rank) AS rank, min(hybrid_rank) AS hybrid_rank FROM h JOIN chunks c USING (chunk_id) GROUP BY 1, 2),
+e AS (SELECT x.item_id AS query_id, count(*) FILTER (WHERE rank <= 3) / count(*)::DOUBLE AS previous, count(*) FILTER (WHERE hybrid_rank <= 3) / count(*)::DOUBLE AS current, min(rank) AS rank_before, min(hybrid_rank) AS rank_after
+  FROM expected x LEFT JOIN t ON t.query_id = x.item_id AND t.doc_id = x.doc_id GROUP BY 1),
+d AS (SELECT *, {r('current - previous', 3)} AS diff FROM e), f AS (SELECT *, diff < 0 OR coalesce(rank_after > rank_before, false) AS regressed FROM d)
+SELECT query_id, {r('previous', 4)} AS previous, {r('current', 4)} AS current, diff, regressed, CASE WHEN NOT regressed THEN 'low' WHEN diff <= -0.5 THEN 'critical' WHEN diff <= -0.25 THEN 'high' ELSE 'medium' END AS severity FROM f""")
 def drift_report(read):
     """Recall of hybrid against dense retrieval by question, and how severe a fall is."""
     top = hybrid(candidates(read, 20)).withColumn("doc", F.col("doc_id"))

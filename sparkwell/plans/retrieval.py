@@ -133,13 +133,18 @@ def quantise_int8(read):
     return q.select("vec_id", tx.rounded(F.col("q.scale"), 9).alias("scale"), add(lambda x: x.cast("bigint")).alias("total"), add(lambda x: F.abs(x).cast("bigint")).alias("size"))
 
 
-@query()
+CODES = """codes AS (SELECT vec_id, list_transform(e, lambda x: CAST(round_even(x / s, 0) AS DOUBLE)) AS q FROM (SELECT vec_id, e, list_max(list_transform(e, lambda x: abs(x))) / {0} AS s FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id AS id, floor(list_cosine_similarity(a.q, b.q) * 1e6 + 0.5) / 1e6 AS score FROM codes a CROSS JOIN codes b WHERE a.vec_id % 50 = 0)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 5"""
+
+
+@query(f"WITH {CODES.format(127)}")
 def knn_int8(read):
     q = vectors_of(read).select("id", quantised(F.col("v"), 127)["codes"].cast("array<double>").alias("v"))
     return topk(q.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv")), q, 5, digits=6)
 
 
-@query()
+@query(f"WITH {CODES.format(7)}")
 def knn_int4(read):
     q = vectors_of(read).select("id", quantised(F.col("v"), 7)["codes"].cast("array<double>").alias("v"))
     return topk(q.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv")), q, 5, digits=6)
@@ -157,7 +162,11 @@ def widest_dims(read):
     return widest_dimensions(read("embeddings")).select("dim", tx.rounded(F.col("variance"), 6).alias("variance"), "rank")
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(generate_series(0, len(embedding) - 1)) AS dim FROM embeddings),
+v AS (SELECT dim, row_number() OVER (ORDER BY floor(var_pop(x) * 1e9 + 0.5) DESC, dim) AS r FROM x GROUP BY 1),
+a AS (SELECT vec_id, max(CASE WHEN r = 1 THEN x END) AS x, max(CASE WHEN r = 2 THEN x END) AS y FROM x JOIN v USING (dim) WHERE r <= 2 GROUP BY 1),
+b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM a)
+SELECT vec_id, CASE WHEN hx > lx THEN floor((8 + (x - lx) / (hx - lx) * 84) * 100 + 0.5) / 100 ELSE 50 END AS x, CASE WHEN hy > ly THEN floor((8 + (y - ly) / (hy - ly) * 84) * 100 + 0.5) / 100 ELSE 50 END AS y FROM a CROSS JOIN b""")
 def vector_map(read):
     return embedding_map(read("embeddings"))
 
@@ -215,14 +224,27 @@ def graph_edges(read):
     return graph.edges(found_entities(read)).where("chunks > 1").select("source", "target", "chunks", "confidence")
 
 
-@query()
+STEPS = f"""{EDGES}, lw AS (SELECT DISTINCT label, unnest(string_split(label, ' ')) AS word FROM g), ln AS (SELECT label, count(*) AS nl FROM lw GROUP BY 1),
+qw AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format('text')}) AS word FROM benchmark), qn AS (SELECT query_id, count(*) AS nq FROM qw GROUP BY 1),
+es AS (SELECT query_id, label, floor(count(*) / sqrt(max(nq) * max(nl)) * 1e6 + 0.5) / 1e6 AS score FROM qw JOIN lw USING (word) JOIN qn USING (query_id) JOIN ln USING (label) GROUP BY 1, 2),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS hit_rank FROM es QUALIFY hit_rank <= 5),
+links AS (SELECT source AS a, target AS b, floor(least(1.0, 0.52 + 0.08 * (chunks - 1))::DOUBLE * 1e6 + 0.5) / 1e6 AS confidence FROM pairs WHERE chunks > 1), ways AS (SELECT a, b, confidence FROM links UNION ALL SELECT b, a, confidence FROM links),
+one AS (SELECT query_id, a AS source, b AS target, CAST(1 AS BIGINT) AS depth, confidence FROM hits JOIN ways ON a = label),
+front AS (SELECT DISTINCT query_id, target FROM one WHERE (query_id, target) NOT IN (SELECT (query_id, label) FROM hits)),
+steps AS (SELECT * FROM one UNION ALL SELECT query_id, a, b, 2, confidence FROM front JOIN ways ON a = target)"""
+
+
+@query(f"WITH {STEPS} SELECT * FROM steps")
 def graph_bfs_steps(read):
     found = found_entities(read)
     hits = graph.entity_hits(questions(read), graph.nodes(found))
     return graph.steps(hits, graph.edges(found).where("chunks > 1"))
 
 
-@query()
+@query(f"""WITH {STEPS}, near AS (SELECT query_id, target AS label, min(depth) AS depth, max(confidence) AS confidence FROM steps GROUP BY 1, 2),
+parts2 AS (SELECT query_id, chunk_id, 0.8::DOUBLE * score AS part, 0 AS depth FROM hits JOIN g USING (label) UNION ALL SELECT query_id, chunk_id, n.confidence / (depth + 1), depth FROM near n JOIN g USING (label)),
+total AS (SELECT query_id, chunk_id, floor(sum(part) * 1e6 + 0.5) / 1e6 AS score, CAST(min(depth) AS BIGINT) AS depth FROM parts2 GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM total QUALIFY rank <= 5""")
 def graph_retrieve(read):
     """Chunks of the entities that a question hits or that edges reach from there."""
     found = found_entities(read)
