@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import chat, embedding_dedup
 from .chat import op5_chat_format
 from .decontaminate import op8_template_matches
 from .embedding_dedup import op6_rotated_code_links
@@ -34,4 +34,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {op5_chat_format.__name__: chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {op5_chat_format.__name__: chat.ORACLE, op6_rotated_code_links.__name__: embedding_dedup.ORACLE}
