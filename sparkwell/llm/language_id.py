@@ -17,6 +17,8 @@ BUCKETS = 1 << 16
 #: Languages that may share a document, and steps of expectation-maximisation at most.
 MIXED, STEPS = 3, 25
 UNKNOWN = "und"
+#: Labelled documents that a model is learned from, about.
+TRAINING_ROWS = 200_000
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -53,8 +55,8 @@ def _letters(codes: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [BUCKETS, languages]) from all rows with a text and a language.
 
-    Every task adds up its own counts, so a row for each language and task is shuffled and
-    one for each language comes back: the model's size depends on the languages alone.
+    Every task adds up its own counts before they are summed by language and bucket, and the
+    model's size depends on the languages alone.
     """
 
     def count(batches):
@@ -66,21 +68,17 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> tup
                     sums[name] += found
                 else:
                     sums[name] = found
-        names = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[n].astype("<i8").tobytes() for n in names], pa.binary())], ["lang", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, "<i8") for c in pdf["counts"]], axis=0)
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "counts": [total.astype("<i8").tobytes()]})
+        for name, total in sums.items():
+            used = np.flatnonzero(total)
+            columns = [pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(total[used], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
 
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    partial = rows.mapInArrow(count, "lang string, counts binary")
-    # By pairs of halves first: a language that all tasks have is summed by many tasks before one ends it.
-    partial = partial.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(16)))
-    half = partial.groupBy("lang", "part").applyInPandas(lambda pdf: add(pdf), "lang string, counts binary")
-    model = {r.lang: np.frombuffer(r.counts, "<i8") for r in half.groupBy("lang").applyInPandas(add, "lang string, counts binary").collect()}
-    names = sorted(n for n in model if model[n].sum() > 0)
-    counts = np.array([model[n] for n in names], np.float64).reshape(len(names), BUCKETS)
+    summed = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = summed.toPandas()  # BUCKETS rows for each language at most
+    names = sorted(found["lang"].unique())
+    counts = np.zeros((len(names), BUCKETS))
+    counts[np.searchsorted(names, found["lang"]) if names else [], found["bucket"].to_numpy(int)] = found["n"]
     smooth = 0.05
     return names, np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * BUCKETS)).T.copy()
 
@@ -173,8 +171,15 @@ def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
+def labelled_rows(docs: DataFrame, *, most: int = TRAINING_ROWS) -> DataFrame:
+    """(text, lang) of rows outside the held-out fold that have both, about ``most`` of them, drawn by a hash of their ids."""
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    n = max(known.count(), 1)
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most).select("text", "lang")
+
+
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = held_out()
-    model = train(docs.where(~out).select("text", "lang"))
+    model = train(labelled_rows(docs))
     return predict(docs.select("doc_id", "text", out.alias("held_out")), model).drop("text")
