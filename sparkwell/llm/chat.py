@@ -50,8 +50,8 @@ def format_conversations(
     return pieces.select("conv_id", formatted.alias("formatted"), mask.alias("mask"))
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns: array of (role, text)), parsed from the formatted strings alone."""
+def read_back(formatted: DataFrame, *kept: str) -> DataFrame:
+    """(conv_id, formatted, turns: array of (role, text)), parsed from the formatted strings alone; ``kept`` columns follow."""
     messages = F.split("formatted", F.lit(r"<\|im_end\|>\n"), -1)
     messages = F.slice(messages, F.lit(1), F.size(messages) - 1)
 
@@ -62,15 +62,28 @@ def read_back(formatted: DataFrame) -> DataFrame:
         )
         return one[0]
 
-    return formatted.select("conv_id", "formatted", F.flatten(F.transform(messages, turns_of)).alias("turns"))
+    return formatted.select("conv_id", "formatted", F.flatten(F.transform(messages, turns_of)).alias("turns"), *kept)
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """Array of the texts that the mask says are learned, cut from the formatted string by position and unescaped."""
+
+    def step(state: Column, m: Column) -> Column:
+        start = state["at"] + m["skip"]
+        text = unescape(F.substring(formatted, start + 1, m["length"]))
+        texts = F.when(m["learned"], F.concat(state["texts"], F.array(text))).otherwise(state["texts"])
+        return F.struct((start + m["length"]).alias("at"), texts.alias("texts"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("texts"))
+    return F.aggregate(mask, none, step, lambda state: state["texts"])
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What a reader of the output finds in it, one row for each conversation."""
-    read = read_back(formatted)
+    """What a reader of the output finds in it, one row for each conversation: its turns by the marks, what is learned by the mask."""
+    learned = F.array_join(under_mask(F.col("formatted"), F.col("mask")), "")
+    read = read_back(formatted.withColumn("learned", learned), "learned")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED_ROLE), lambda t: t["text"]), "")
-    return read.withColumn("learned", learned).select(
+    return read.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
         F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),

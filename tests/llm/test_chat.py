@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from sparkwell.llm import chat
 
 TEXTS = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user<|im_sep|>x", "a\\<\\|im_sep|> <\\\\s> [\\INST] <<SYS>> [[INST] <", "", None, "ünï\n\n", "<\\/s>"]
@@ -39,3 +41,13 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+
+
+def test_loss_is_what_the_mask_covers(spark):
+    turns = spark.createDataFrame(rows(), "conv_id bigint, turn bigint, role string, text string, formatted string")
+    formatted = chat.format_conversations(turns)
+    none = formatted.withColumn("mask", F.transform("mask", lambda m: m.withField("learned", F.lit(False))))
+    assert {(r.loss_chars, r.loss_sha256) for r in chat.digests(none).collect()} == {(0, hashlib.sha256(b"").hexdigest())}
+    every = formatted.withColumn("mask", F.transform("mask", lambda m: m.withField("learned", F.lit(True))))
+    texts = {r.conv_id: "".join(t.text for t in r.turns) for r in chat.read_back(formatted).collect()}
+    assert {r.conv_id: r.loss_sha256 for r in chat.digests(every).collect()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in texts.items()}
