@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,8 @@ from .common import written
 from .tokens import default_vocabulary, encoder, texts_of
 
 SEQUENCE = 2048
-#: Parts over which one remaining length is numbered, so that a length most documents share is no hot key.
-SALTS = 64
+#: Bits of a row's number that count the rows of its input partition.
+PART_BITS = 40
 #: Plans of up to so many rows are broadcast (under 4 MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
 
@@ -133,7 +133,7 @@ def encode_rows(docs: DataFrame, *, doc_id: str, text: str, vocabulary: str | No
 
     def code(batches):
         words_of = encoder(path)
-        row = TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << PART_BITS
         end = words_of.packed([end_id])
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
@@ -152,9 +152,18 @@ def encode_rows(docs: DataFrame, *, doc_id: str, text: str, vocabulary: str | No
     return rows.mapInArrow(code, "row bigint, doc_id bigint, n bigint, ids binary")
 
 
+def _part(row: str) -> Column:
+    """The input partition in which ``encode_rows`` met a row."""
+    return F.shiftright(row, PART_BITS)
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Adds to the rows of each ``rest`` the numbers 0, 1, ... in no order that matters."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    """Adds to the rows of each ``rest`` the numbers 0, 1, ... in no order that matters.
+
+    They are counted by input partition first, so a length that most documents share is no hot key: no task numbers
+    more of its rows than one partition held.
+    """
+    salted = rows.withColumn("salt", _part("row"))
     before = Window.partitionBy("rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = salted.groupBy("rest", "salt").agg(F.count("*").alias("c"))
     bases = bases.select("rest", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
@@ -193,13 +202,13 @@ def pack(
         (F.col("first_sequence") + F.floor(i / F.col("per_sequence"))).alias("sequence_id"),
         (F.col("first_offset") + (i % F.col("per_sequence")) * F.col("length")).alias("offset"),
     )
-    # Whole windows are numbered after the planned sequences: by bucket of rows, then inside each bucket.
-    long = sizes.where("whole > 0").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(1024)))
+    # Whole windows are numbered after the planned sequences: by input partition, then inside each.
+    long = sizes.where("whole > 0").withColumn("part", _part("row"))
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    bases = long.groupBy("bucket").agg(F.sum("whole").alias("c"))
-    bases = bases.select("bucket", F.coalesce(F.sum("c").over(upto(Window.orderBy("bucket"))), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum("whole").over(upto(Window.partitionBy("bucket").orderBy("row"))), F.lit(0))
-    long = long.withColumn("inside", inside).join(bases, "bucket")
+    bases = long.groupBy("part").agg(F.sum("whole").alias("c"))
+    bases = bases.select("part", F.coalesce(F.sum("c").over(upto(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("whole").over(upto(Window.partitionBy("part").orderBy("row"))), F.lit(0))
+    long = long.withColumn("inside", inside).join(bases, "part")
     windows = long.select("row", (F.col("base") + F.col("inside") + filled).alias("first"), F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("w")).select(
         "row", (F.col("w") * size).alias("start"), F.lit(size).cast("bigint").alias("length"),
         (F.col("first") + F.col("w")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"),
