@@ -10,9 +10,18 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows of an Arrow batch that Python code gets. Whole texts are long, and both sides of the pipe hold a batch at once.
+ARROW_ROWS, SPARKS_OWN = "2000", "10000"
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once for each application, as ``--py-files`` would."""
+    """Sends this package to the executors, once for each application, as ``--py-files`` would.
+
+    Arrow batches are made smaller too, unless the session has set their size itself.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, SPARKS_OWN) == SPARKS_OWN:
+        spark.conf.set(rows, ARROW_ROWS)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).parent
