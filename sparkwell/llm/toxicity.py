@@ -18,6 +18,8 @@ THRESHOLD = 0.7
 LEAST_DOCS, LEAST_SHARE = 3, 0.6
 #: Labelled documents that the lexicon and its calibration are learned from, about.
 TRAINING_ROWS = 30_000
+#: Entries that a task counts before it hands their sums on.
+HELD = 100_000
 #: Lengths of the word beginnings that may be listed besides whole words.
 STEMS = (4, 5, 6, 7)
 #: The lexicon holds the strongest words only; more than this many are never needed to tell.
@@ -101,7 +103,7 @@ def _document_counts(batches):
         for one, label in zip(texts_of(batch, "text"), batch.column("label").to_pylist(), strict=True):
             for word in entries(folded(one)):
                 seen.setdefault(word, [0, 0])[1 - label] += 1
-        if len(seen) > 500_000:
+        if len(seen) > HELD:
             yield _counted(seen)
             seen = {}
     yield _counted(seen)
