@@ -21,7 +21,7 @@ RULES = (
 MOST_RULES = 1000
 #: Damping; steps between checkpoints, rounds of them at most, and the change by a round that ends them.
 DAMPING, STEPS, ROUNDS, TOLERANCE = 0.85, 4, 12, 1e-3
-#: A host is blocked if its distrust exceeds its trust by more than half of what a seed blocked altogether has.
+#: Rules alone block a host if the share of its pages that they block exceeds the share that they allow by more than this.
 MARGIN = 0.5
 
 LINK = r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
@@ -58,7 +58,9 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def propagate(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(host, score): personalised PageRank of ``links`` (src, dst, n) from ``seeds`` (host, weight above 0).
+    """(host, score, received): personalised PageRank of ``links`` (src, dst, n) from ``seeds`` (host, weight above 0).
+
+    ``received`` is the part of the score that came over links, without what the host has as a seed.
 
     What hosts without links have goes back to the seeds: that is the same as letting it go and scaling the rest
     up to 1 in the end. Scores are scaled to the seeds' weights: a seed that takes no part in any link keeps its
@@ -66,16 +68,16 @@ def propagate(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """
     total = seeds.agg(F.sum("weight").alias("w")).first()["w"]
     if not total:
-        return seeds.select("host", F.col("weight").alias("score"))
-    restart = cut(seeds.select("host", (F.col("weight") / total * (1 - DAMPING)).alias("r")))
+        return seeds.select("host", F.col("weight").alias("score"), F.lit(0.0).alias("received"))
+    restart = cut(seeds.select("host", (F.col("weight") / total * (1 - DAMPING)).alias("r"), F.lit(0.0).alias("got")))
     out = links.groupBy("src").agg(F.sum("n").alias("all"))
     moves = cut(links.join(out, "src").select("src", F.col("dst").alias("host"), (F.col("n") / F.col("all") * DAMPING).alias("p")))
     rank = restart
     for _ in range(ROUNDS if moves.limit(1).count() else 0):
         new = rank
         for _ in range(STEPS):
-            moved = new.withColumnRenamed("host", "src").join(moves, "src").select("host", (F.col("r") * F.col("p")).alias("r"))
-            new = moved.unionByName(restart).groupBy("host").agg(F.sum("r").alias("r"))
+            moved = new.withColumnRenamed("host", "src").join(moves, "src").select("host", (F.col("r") * F.col("p")).alias("r")).withColumn("got", F.col("r"))
+            new = moved.unionByName(restart).groupBy("host").agg(F.sum("r").alias("r"), F.sum("got").alias("got"))
         new = cut(new)
         both = new.unionByName(rank.withColumn("r", -F.col("r"))).groupBy("host").agg(F.sum("r").alias("d"))
         change = both.agg(F.sum(F.abs("d")).alias("d")).first()["d"]
@@ -83,7 +85,7 @@ def propagate(links: DataFrame, seeds: DataFrame) -> DataFrame:
         if change < TOLERANCE:
             break
     whole = rank.agg(F.sum("r").alias("w")).first()["w"]
-    return rank.select("host", (F.col("r") / whole * total).alias("score"))
+    return rank.select("host", (F.col("r") / whole * total).alias("score"), (F.col("got") / whole * total).alias("received"))
 
 
 def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
@@ -91,8 +93,10 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
 
     A rule that fits decides. Otherwise the page's host does: trust starts from hosts in proportion to their
     pages that rules allow and follows links; distrust starts from those that rules block and follows links
-    backwards, to the hosts that link to them. Pages whose host's distrust exceeds its trust by more than MARGIN are
-    blocked and all others, hosts unknown to rules and links and urls without a host among them, allowed.
+    backwards, to the hosts that link to them. A host is blocked if links bring it more distrust than it has trust,
+    however little that is (those that link to one seed share its distrust, so no fixed amount would do), or if
+    rules block more of its pages than they allow by over MARGIN of all. Pages of other hosts, hosts unknown to
+    rules and links and urls without a host among them, are allowed.
     Null urls and null html are empty ones; repeated rows are judged like any other.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
@@ -103,10 +107,12 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
     trust = propagate(links, hosts.where("allow > 0").select("host", F.col("allow").alias("weight")))
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagate(back, hosts.where("block > 0").select("host", F.col("block").alias("weight")))
-    scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
-    scores = cut(scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
+    scores = trust.select("host", F.col("score").alias("trust")).join(distrust.withColumnRenamed("score", "distrust"), "host", "full").join(hosts, "host", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    blocked = (zero("received") > zero("trust")) | (zero("block") - zero("allow") > MARGIN)
+    scores = cut(scores.select("host", zero("trust").alias("trust"), zero("distrust").alias("distrust"), blocked.alias("blocked")))
     joined = judged.select("page_id", "host", "path", "fit").join(scores, "host", "left")
-    by_host = F.when(F.col("distrust") - F.col("trust") > MARGIN, "block").otherwise("allow")
+    by_host = F.when(F.col("blocked"), "block").otherwise("allow")
     return joined.select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_host).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),

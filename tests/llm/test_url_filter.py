@@ -44,3 +44,18 @@ def test_links_carry_distrust(spark):
     got = {r.page_id: r for r in uf.judge(pages).collect()}
     assert got[2].distrust > 0.3 and got[3].distrust == 0
     assert uf.judge(pages.limit(0)).count() == 0
+
+
+def test_links_to_a_blocked_seed_block(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/es/1">x</a>' for h in hosts)
+    pages = [(1, "http://bad.net/es/1", ""), (2, "http://farm.org/1", link("bad.net")), (3, "http://fine.org/1", link("farm.org", "half.net"))]
+    pages += [(4, "http://half.net/es/1", ""), (5, "http://half.net/de/1", ""), (6, "http://half.net/de/2", ""), (7, "http://good.com/1", link("known.org", "farm.org")), (8, "http://known.org/1", link("good.com"))]
+    crowd = [(100 + k, f"http://f{k}.org/1", link("worse.net")) for k in range(50)] + [(99, "http://worse.net/fr/1", "")]
+    judged = lambda rows: {r.page_id: r.verdict for r in uf.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    # One host that links to one blocked seed; then fifty that share what another seed has.
+    assert judged(pages[:2]) == {1: "block", 2: "block"}
+    got = judged(pages[:1] + [pages[1]] + pages[3:6] + pages[7:] + crowd)
+    assert {k for k, v in got.items() if v == "block"} == {1, 2, 4, 99, *range(100, 150)}
+    # Trust from an allowed host outweighs nothing where no distrust comes in, and hosts are not blocked by their own few blocked pages.
+    got = judged(pages[3:])
+    assert got == {4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow"}
