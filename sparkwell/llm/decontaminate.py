@@ -17,21 +17,33 @@ MAP_BITS = 1 << 19
 UNITS = "km|cm|mm|m|mi|miles?|inch(?:es)?|feet|ft|kg|mg|g|lbs?|oz|tons?|l|ml|liters?|litres?|hours?|hrs?|h|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|mph|kmh|dollars?|cents?|euros?|pounds?|percent|degrees?"
 
 NUMBER, UNIT, NAME = "\u0001n", "\u0001u", "\u0001p"
+#: Words that are no names, though they begin sentences.
+COMMON = (
+    "A|About|After|All|Although|Also|An|And|Another|Any|Are|As|At|Because|Before|Both|But|By|Can|Could|Did|Do|Does|During|Each|Every|Find|First|For|From|Given|Had|Has|Have|He|Her|Here|His|How|However|"
+    "If|In|Into|Is|It|Its|Let|Many|More|Most|Much|My|Next|No|Not|Now|Of|On|One|Or|Other|Our|Out|Over|She|Should|Since|So|Some|Suppose|Than|That|The|Their|Then|There|These|They|This|Those|To|Two|Under|"
+    "Until|Was|We|Were|What|When|Where|Which|While|Who|Whose|Why|Will|With|Would|You|Your|Aber|Als|Auf|Aus|Das|Dem|Den|Der|Des|Die|Ein|Eine|Er|Es|Für|Ich|Im|Ist|Mit|Nach|Sie|Sind|Und|Von|War|Was|Wenn|Wer|"
+    "Wie|Wir|Wo|Zu|Au|Aux|Avec|Ce|Ces|Cette|Comme|Dans|De|Du|Elle|En|Est|Et|Il|Ils|Je|La|Le|Les|Mais|Nous|Ou|Par|Pas|Pour|Que|Quel|Quelle|Qui|Sa|Se|Si|Son|Sont|Sur|Un|Une|Vous|Al|Como|Con|Cuando|"
+    "Cuál|Cuánto|Cuántos|Del|Donde|El|Ella|Ellos|Las|Lo|Los|No|Para|Pero|Por|Porque|Qué|Ser|Sin|Su|Sus|Una|Uno|Y|Yo"
+)
+GAP = r"(?=\s)[^\S\n]*\n?[^\S\n]*"
+CAPITAL = rf"(?=\p{{Lu}})(?!(?:{COMMON})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\p{{Ll}}+(?:\p{{Lu}}\p{{Ll}}+)*(?![\p{{L}}\p{{N}}])"
+INITIAL = rf"(?:\.(?:{GAP})?|['’])"
 
 
 def slotted(text: Column) -> Column:
     """The text's words: lower-case, a slot beginning with its mark before what fills it.
 
-    Slots are numbers, a unit after a number, and names: capitalised words inside a sentence, that is after a small
-    letter, a comma or another name and one blank.
+    Slots are numbers, a unit after a number, and names: capitalised words that are not common, wherever they stand.
+    Names in a row, over a hyphen or a line's end too, with their titles and initials, are one word, parted by U+0002.
     """
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "\u0001", " ")
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001\u0002]", " ")
     numbers = F.regexp_replace(plain, r"(?<![\p{L}\p{N}])\p{Nd}+(?:[.,]\p{Nd}+)*(?![\p{L}\p{N}])", f" {NUMBER}$0 ")
     units = F.regexp_replace(numbers, rf"(?i)({NUMBER}\S+\s+)({UNITS}|[%€$£])(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2 ")
-    # A name's mark is a letter, so that a name may follow a name.
-    names = F.regexp_replace(units, r"(?<=[\p{Ll},] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)(?![\p{L}\p{N}])", f"{NAME}$1")
+    part = rf"(?:({CAPITAL})(?:-|{GAP})|(Mrs?|Ms|Dr|Prof|St)\.{GAP}|(\p{{Lu}}){INITIAL})"
+    joined = F.regexp_replace(units, rf"(?<![\p{{L}}\p{{N}}]){part}(?=(?:\p{{Lu}}{INITIAL}){{0,3}}{CAPITAL})", "$1$2$3\u0002")
+    names = F.regexp_replace(joined, rf"(?<![\p{{L}}\p{{N}}\u0002])(?:\p{{Lu}}\p{{Ll}}*\u0002)*{CAPITAL}", f"{NAME}$0")
     # Numbers keep their points and commas; elsewhere what is neither letter, digit nor mark parts words.
-    return F.filter(F.split(F.lower(names), r"(?:(?<!\p{Nd})[.,]|[.,](?!\p{Nd})|[^\p{L}\p{N}\u0001.,%€$£])+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(names), r"(?:(?<!\p{Nd})[.,]|[.,](?!\p{Nd})|[^\p{L}\p{N}\u0001\u0002.,%€$£])+"), lambda w: w != "")
 
 
 def kind(word: Column) -> Column:
@@ -44,19 +56,25 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def named(words: Column) -> Column:
+    """The words with those of names as literal ones, so that names match in any case."""
+    return F.flatten(F.transform(words, lambda w: F.when(w.startswith(NAME), F.split(F.substring(w, len(NAME) + 1, 1 << 30), "\u0002")).otherwise(F.array(w))))
+
+
 def windows(text: Column, keep: Column | None = None) -> Column:
-    """Array of (at, hash, words): the windows of template words that have literals enough.
+    """Array of (view, at, of, hash, words): the windows of template words that have literals enough.
 
+    View 0 has names as slots, view 1 as literal words; ``of`` is the view's number of words.
     ``keep`` is an array of 64-bit pieces of a bit map; only windows whose bit is set stay.
     """
 
-    def from_words(words: Column) -> Column:
+    def from_words(words: Column, view: int) -> Column:
         hashes = F.transform(words, lambda w: F.xxhash64(kind(w)))
         # Most texts have no slot; only the others have their slots counted.
         slots = F.when(F.exists(words, lambda w: w.startswith("\u0001")), F.transform(words, lambda w: w.startswith("\u0001").cast("int")))
-        return let(F.struct(hashes.alias("k"), slots.alias("open")), lambda x: from_hashes(words, x["k"], x["open"]))
+        return let(F.struct(hashes.alias("k"), slots.alias("open")), lambda x: from_hashes(words, x["k"], x["open"], view))
 
-    def from_hashes(words: Column, k: Column, slots: Column) -> Column:
+    def from_hashes(words: Column, k: Column, slots: Column, view: int) -> Column:
         starts = F.when(F.size(k) >= WINDOW, F.sequence(F.lit(0), F.size(k) - WINDOW)).otherwise(F.array().cast("array<int>"))
         made = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(k, i + j) for j in range(WINDOW)]).alias("hash")))
 
@@ -69,9 +87,9 @@ def windows(text: Column, keep: Column | None = None) -> Column:
             piece = F.get(keep, F.shiftright(slot, 6).cast("int"))
             return (F.getbit(piece, (slot % 64).cast("int")) == 1) & enough
 
-        return F.transform(F.filter(made, stays), lambda w: F.struct(w["at"].alias("at"), w["hash"].alias("hash"), F.slice(words, w["at"] + 1, WINDOW).alias("words")))
+        return F.transform(F.filter(made, stays), lambda w: F.struct(F.lit(view).alias("view"), w["at"].alias("at"), F.size(k).alias("of"), w["hash"].alias("hash"), F.slice(words, w["at"] + 1, WINDOW).alias("words")))
 
-    return let(slotted(text), from_words)
+    return let(slotted(text), lambda words: F.concat(from_words(words, 0), let(named(words), lambda w: from_words(w, 1))))
 
 
 def bit_map(hashes: DataFrame) -> Column:
@@ -89,9 +107,11 @@ def matches(
 ) -> DataFrame:
     """(doc_id, item_id, item_windows, matched_windows, coverage, slots, refilled) for each item that a document contains.
 
-    A document contains an item if it has at least ``covered`` of the item's different template windows, counting
-    those on alignments whose slots are consistent only: on one alignment of document and item, the same filling of a slot in the item always
-    meets the same filling in the document. ``slots`` are the item's fillings met and ``refilled``
+    A document contains an item if, with names as slots or with names as literal words, it has at least ``covered`` of
+    the item's different template windows, counting those on alignments whose slots are consistent only: on one alignment
+    of document and item, the same filling of a slot in the item always
+    meets the same filling in the document. A name at the item's ends may have run into names around the copy there, so
+    a name of several words is not held against it. The row is that of the better view. ``slots`` are the item's fillings met and ``refilled``
     how many of them differ in the document: above 0 for re-parameterised copies, 0 for verbatim ones.
     A map of fixed size of the benchmark's windows screens the documents' windows where they are made; only what
     passes is shuffled for the exact join. Null texts are empty. Items of fewer than five words have no window and match nothing.
@@ -100,29 +120,33 @@ def matches(
     # An outer explode, since Spark would filter by the size of the array before a plain one and make the array twice.
     exploded = lambda df, name, of, keep: df.select(F.col(name).alias("id"), windows(F.col(of), keep).alias("w")).select("id", F.explode_outer("w").alias("w")).where("w is not null")
     items = exploded(benchmark.select(item_id, item_text).distinct(), item_id, item_text, None)
-    item_windows = cut(items.select(F.col("id").alias("item_id"), F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.col("w.words").alias("item_words")))
-    totals = item_windows.groupBy("item_id").agg(F.countDistinct("hash").alias("item_windows"))
+    item_windows = cut(items.select(F.col("id").alias("item_id"), "w.view", F.col("w.at").alias("item_at"), "w.of", "w.hash", F.col("w.words").alias("item_words")))
+    totals = item_windows.groupBy("item_id", "view").agg(F.countDistinct("hash").alias("item_windows"))
 
     screened = exploded(docs, doc_id, text, bit_map(item_windows.select("hash")))
-    doc_windows = screened.select(F.col("id").alias("doc_id"), F.col("w.at").alias("at"), F.col("w.hash").alias("hash"), F.col("w.words").alias("words"))
-    met = doc_windows.join(item_windows, "hash").where(F.transform("words", kind) == F.transform("item_words", kind))
-    met = cut(met.select("doc_id", "item_id", "hash", (F.col("at") - F.col("item_at")).alias("shift"), "words", "item_words"))
-
-    pairs = F.filter(F.arrays_zip("item_words", "words"), lambda p: p["item_words"].startswith("\u0001"))
-    filled = met.select("doc_id", "item_id", "shift", F.explode(pairs).alias("p")).select("doc_id", "item_id", "shift", F.col("p.item_words").alias("mine"), F.col("p.words").alias("theirs")).distinct()
-    fillings = filled.groupBy("doc_id", "item_id", "shift").agg(
+    doc_windows = screened.select(F.col("id").alias("doc_id"), "w.view", "w.at", "w.hash", "w.words")
+    met = doc_windows.join(item_windows, ["hash", "view"]).where(F.transform("words", kind) == F.transform("item_words", kind))
+    met = cut(met.select("doc_id", "item_id", "view", "hash", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "of", "words", "item_words"))
+
+    key = ["doc_id", "item_id", "view", "shift"]
+    ends = lambda i: (F.col("item_at") + i == 0) | (F.col("item_at") + i == F.col("of") - 1)
+    zipped = F.transform(F.arrays_zip("item_words", "words"), lambda p, i: F.struct(p["item_words"].alias("mine"), p["words"].alias("theirs"), ends(i).alias("end")))
+    pairs = F.filter(zipped, lambda p: p["mine"].startswith("\u0001") & ~(p["end"] & p["theirs"].contains("\u0002")))
+    filled = met.select(*key, F.explode(pairs).alias("p")).select(*key, "p.mine", "p.theirs").distinct()
+    fillings = filled.groupBy(*key).agg(
         F.count("*").alias("pairs"), F.countDistinct("mine").alias("slots"), F.count_if(F.col("mine") != F.col("theirs")).alias("refilled")
     )
-    aligned = met.select("doc_id", "item_id", "shift", "hash").distinct().join(fillings, ["doc_id", "item_id", "shift"], "left")
+    aligned = met.select(*key, "hash").distinct().join(fillings, key, "left")
     consistent = aligned.where("pairs is null or pairs = slots")
-    found = consistent.groupBy("doc_id", "item_id", "hash").agg(F.max("slots").alias("slots"), F.min("refilled").alias("refilled"))
-    counted = found.groupBy("doc_id", "item_id").agg(
+    found = consistent.groupBy("doc_id", "item_id", "view", "hash").agg(F.max("slots").alias("slots"), F.min("refilled").alias("refilled"))
+    counted = found.groupBy("doc_id", "item_id", "view").agg(
         F.count("*").alias("matched_windows"), F.coalesce(F.max("slots"), F.lit(0)).alias("slots"), F.coalesce(F.max("refilled"), F.lit(0)).alias("refilled")
     )
     share = F.col("matched_windows") / F.col("item_windows")
-    return counted.join(totals, "item_id").where(share >= covered).select(
-        "doc_id", "item_id", "item_windows", "matched_windows", share.alias("coverage"), "slots", "refilled"
-    )
+    enough = counted.join(totals, ["item_id", "view"]).withColumn("coverage", share).where(F.col("coverage") >= covered)
+    columns = ["item_windows", "matched_windows", "coverage", "slots", "refilled"]
+    best = F.max_by(F.struct(*columns), F.struct("coverage", -F.col("view"))).alias("b")
+    return enough.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[f"b.{c}" for c in columns])
 
 
 def op8_template_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

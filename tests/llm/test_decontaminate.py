@@ -53,3 +53,26 @@ def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
     assert dc.matches(docs, items).count() == 0
     assert dc.matches(items.withColumnRenamed("item_id", "doc_id"), items.limit(0)).count() == 0
+
+
+def test_names_anywhere_and_any_case(spark):
+    tom = "Tom has 5 apples and gives 2 apples to his sister. Tom then buys 7 more apples. How many apples does Tom have now?"
+    ann = "When Ann Brown walks to the market she meets her friend, and then Ann Brown sells her nine baskets of red plums while Ann sings."
+    items = [(1, tom), (2, ann), (3, ITEM)]
+    docs = [
+        (1, f"Some words. {tom.replace('Tom', 'Bob')}"),
+        (2, f"Taught in Paris\n{tom.replace('Tom', 'Bob').replace('5', '9')}"),  # a name before the item runs into it
+        (3, ann.replace("Ann Brown", "Mary Jones").replace("Ann ", "Mary ")),
+        (4, ann.replace("Ann Brown", "Mary").replace("Ann ", "Sue ")),
+        (5, ann.replace("Ann Brown", "Dr. Mary J. O'Neill-Jones").replace("Ann ", "Mary\n")),
+        (6, ann.replace(" ", "\n")),
+        (7, ITEM.upper()),
+        (8, ITEM.lower()),
+        (9, ITEM.replace(" Tom", "\nTom").replace(" Anna", " \n Anna")),
+        (10, tom.upper().replace("5", "8")),
+        (11, tom.replace("Tom then", "Bob then")),  # one name became two
+    ]
+    got = dc.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got = {(r.doc_id, r.item_id): r for r in got}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2), (7, 3), (8, 3), (9, 3), (10, 1)}
+    assert got[7, 3].coverage == 1 and got[7, 3].refilled == 0 and got[1, 1].refilled > 0
