@@ -221,7 +221,7 @@ def graph_nodes(read):
 
 @query(f"WITH {EDGES} SELECT source, target, chunks, CAST(floor(least(1.0, 0.52 + 0.08 * (chunks - 1)) * 1e6 + 0.5) / 1e6 AS DOUBLE) AS confidence FROM pairs WHERE chunks > 1")
 def graph_edges(read):
-    return graph.edges(found_entities(read)).where("chunks > 1").select("source", "target", "chunks", "confidence")
+    return graph.edges(found_entities(read)).select("source", "target", "chunks", "confidence")
 
 
 STEPS = f"""{EDGES}, lw AS (SELECT DISTINCT label, unnest(string_split(label, ' ')) AS word FROM g), ln AS (SELECT label, count(*) AS nl FROM lw GROUP BY 1),
@@ -238,7 +238,7 @@ steps AS (SELECT * FROM one UNION ALL SELECT query_id, a, b, 2, confidence FROM
 def graph_bfs_steps(read):
     found = found_entities(read)
     hits = graph.entity_hits(questions(read), graph.nodes(found))
-    return graph.steps(hits, graph.edges(found).where("chunks > 1"))
+    return graph.steps(hits, graph.edges(found))
 
 
 @query(f"""WITH {STEPS}, near AS (SELECT query_id, target AS label, min(depth) AS depth, max(confidence) AS confidence FROM steps GROUP BY 1, 2),
@@ -249,7 +249,7 @@ def graph_retrieve(read):
     """Chunks of the entities that a question hits or that edges reach from there."""
     found = found_entities(read)
     hits = graph.entity_hits(questions(read), graph.nodes(found))
-    steps = graph.steps(hits, graph.edges(found).where("chunks > 1"))
+    steps = graph.steps(hits, graph.edges(found))
     direct = hits.join(found, "label").select("query_id", "chunk_id", (0.8 * F.col("score")).alias("part"), F.lit(0).alias("depth"))
     near = steps.groupBy("query_id", F.col("target").alias("label")).agg(F.min("depth").alias("depth"), F.max("confidence").alias("confidence"))
     reached = near.join(found.select("label", "chunk_id"), "label").select("query_id", "chunk_id", (F.col("confidence") / (F.col("depth") + 1)).alias("part"), "depth")
