@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,58 +15,84 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is missing, as in local tests, a temporary folder takes its place.
+    Where that setting is missing, a master within this process gets a temporary folder; any other is refused, since
+    its executors could not read what the driver or each other wrote. What is left in this application's part of the folder
+    goes when its JVM ends.
     """
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkwell-"))
-        folder = context._jsc.sc().getCheckpointDir().get()
-    return folder.rstrip("/")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkwell-"))
+    mine = context._jsc.sc().getCheckpointDir().get()
+    if mine not in _leaving:
+        _leaving.add(mine)
+        path = context._jvm.org.apache.hadoop.fs.Path(mine)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return mine.rstrip("/")
+
+
+_leaving: set[str] = set()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: no lineage, compressed."""
+    """``df`` written as Parquet into the shared folder and read again: no lineage, compressed.
+
+    The table stays until the application ends, as what is made of it may be computed at any time; ``erase`` takes it away before.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def erase(table: DataFrame) -> None:
+    """Deletes the files that ``written`` made for ``table``; other tables are left alone."""
+    context = table.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+        home = fs.makeQualified(context._jvm.org.apache.hadoop.fs.Path(shared_folder(table.sparkSession)))
+        if fs.makeQualified(path).getParent().equals(home):
+            fs.delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` by a reliable checkpoint; Spark removes the files when the frame is gone."""
+    """``df`` by a reliable checkpoint.
+
+    Its files go with the frame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on (Spark's default is off), at the latest
+    with the application.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def forest(batches):
-    """Per task: a spanning forest of the edges (a, b) that the task reads, root the smallest node."""
-    parent: dict[int, int] = {}
+#: Edges that a task holds before it reduces them to a forest.
+HELD = 1 << 20
 
-    def find(x: int) -> int:
-        root = x
-        while (up := parent.setdefault(root, root)) != root:
-            root = up
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
+
+def forest(batches):
+    """Per task: spanning forests of the edges (a, b) that the task reads, root the smallest node."""
+    held: list[np.ndarray] = []
 
     def flush():
-        nodes = [n for n in parent if find(n) != n]
-        return pa.RecordBatch.from_pydict(
-            {"a": pa.array([find(n) for n in nodes], pa.int64()), "b": pa.array(nodes, pa.int64())}
-        )
+        a, b = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)  # in order, so the smallest index is the smallest node
+        root = label_pairs(len(nodes), at[: len(a)], at[len(a) :])
+        ends = np.flatnonzero(root != np.arange(len(nodes)))
+        return np.stack([nodes[root[ends]], nodes[ends]])
+
+    def out(pairs):
+        return pa.RecordBatch.from_pydict({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
     for batch in batches:
-        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        if len(parent) > 1_000_000:  # a forest of part of the edges keeps every connection
-            yield flush()
-            parent.clear()
-    yield flush()
+        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b")]))
+        if sum(x.shape[1] for x in held) > HELD:
+            held = [flush()]
+            if held[0].shape[1] > HELD // 2:  # a forest of part of the edges keeps every connection
+                yield out(held.pop())
+    yield out(flush())
 
 
 def _star(pairs: DataFrame, small: bool) -> DataFrame:
@@ -110,8 +137,9 @@ def label_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
+        for ends in (a, b):  # the items themselves, and what they were labelled with
+            np.minimum.at(new, ends, low)
+            np.minimum.at(new, label[ends], low)
         new = new[new]
         if (new == label).all():
             return label

@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from ..session import ship
+from .common import connected_components, cut, label_pairs
 
 THRESHOLD = 0.95
 #: Standard errors that an estimate may be off before a pair goes unexamined; the chance of that is below 1e-8.
 SURE = 6.0
-#: Vectors of a tile.
-TILE = 2048
+#: What estimates in single precision may be off besides.
+ROUNDING = 1e-4
+#: Bytes of a tile's vectors, and its rows at least and at most.
+TILE_BYTES, LEAST_ROWS, MOST_ROWS = 8 << 20, 256, 16384
+#: Tiles that a width is dealt to if there are so many rows for each, so that their pairs keep a cluster busy.
+TILES, SPREAD = 8, 1024
+#: Different widths that are dealt by a broadcast table of tile counts; a table of more is joined by shuffle.
+BROADCAST_WIDTHS = 10_000
 
 
+@lru_cache(maxsize=2)
 def rotation(width: int, seed: int = 11) -> np.ndarray:
     """A random orthogonal matrix, the same in every task."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, width)))
     return q * np.sign(np.diag(r))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component to 0.5..1: exact, and no square over- or underflows."""
+    _, power = np.frexp(np.abs(vectors).max(axis=1))
+    half = -power // 2  # in two steps, since the whole power may be no finite number
+    return np.ldexp(np.ldexp(vectors, half[:, None]), (-power - half)[:, None])
+
+
 def code(units: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(packed signs of the rotated vectors, correction factor of each).
 
@@ -35,24 +52,29 @@ def code(units: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def estimate(bits: np.ndarray, factor: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unbiased estimates of the inner products of coded with rotated unit vectors, and their standard errors.
 
-    With x the code and o the vector, <x, q> / <x, o> has the expectation <o, q> over the rotations
-    and strays from it by about sqrt((1 - <x, o>^2) / <x, o>^2 / (width - 1)).
+    With x the code, o the vector and s the sine between o and q, <x, q> / <x, o> is <o, q> + s tan(o, x) u, where u is one component
+    of a random unit vector of width - 1 components: the expectation over the rotations is <o, q>, and it
+    strays by about s sqrt((1 - <x, o>^2) / <x, o>^2 / (width - 1)). The errors given are those for s = 1.
     """
     width = rotated.shape[1]
     signs = np.unpackbits(bits, axis=1, count=width).astype(np.float32) * 2 - 1
     signs /= (factor * np.sqrt(width)).astype(np.float32)[:, None]
-    error = np.sqrt((1 - factor**2) / factor**2 / max(width - 1, 1))
+    error = np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(width - 1, 1))
     return signs @ rotated.astype(np.float32).T, error
 
 
 def linked(x: np.ndarray, y: np.ndarray, bits: np.ndarray, factor: np.ndarray, turn: np.ndarray, threshold: float, rows: int = 512):
-    """Index pairs of ``x`` and ``y`` of cosine ``threshold`` or more, each computed exactly in double precision."""
+    """Index pairs of ``x`` and ``y`` (both ``scaled``) of cosine ``threshold`` or more, each computed exactly in double precision.
+
+    The sine of a pair that links is at most that of the threshold, and so is its estimate's error times that.
+    """
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     rotated = (y / ny[:, None]) @ turn
+    sine = np.sqrt(max(0.0, 1 - threshold**2)) if threshold > 0 else 1.0
     for at in range(0, len(x), rows):
         part = slice(at, at + rows)
         guess, error = estimate(bits[part], factor[part], rotated)
-        a, b = np.nonzero(guess >= (threshold - SURE * error).astype(np.float32)[:, None])
+        a, b = np.nonzero(guess >= (threshold - SURE * error * sine - ROUNDING).astype(np.float32)[:, None])
         for some in range(0, len(a), 1 << 16):
             i, j = a[some : some + (1 << 16)] + at, b[some : some + (1 << 16)]
             cosine = np.einsum("ij,ij->i", x[i], y[j]) / (nx[i] * ny[j])
@@ -60,62 +82,66 @@ def linked(x: np.ndarray, y: np.ndarray, bits: np.ndarray, factor: np.ndarray, t
             yield i[near], j[near]
 
 
+def tile_count(width, n, tile: int | None):
+    """Columns of widths and counts to tiles: of ``tile`` rows, else of TILE_BYTES, but fewer rows where that leaves few tiles."""
+    if tile:
+        return F.ceil(n / tile)
+    rows = F.least(F.lit(MOST_ROWS), F.greatest(F.lit(LEAST_ROWS), F.floor(F.lit(TILE_BYTES) / (8 * width))))
+    return F.greatest(F.ceil(n / rows), F.least(F.lit(TILES), F.ceil(n / SPREAD)))
+
+
 def near_vectors(
-    vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE
+    vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, tile: int | None = None
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Equal vectors are one class, compared once and counted by its size. Classes are dealt by hash
-    to tiles, and each pair of tiles is one group of at most about 2 * ``tile`` vectors: codes
+    Equal vectors are one class, compared once and counted by its size. The classes of each width are dealt by hash
+    to tiles of about TILE_BYTES, and each pair of tiles is one group: codes
     screen its pairs, survivors are computed exactly, and what leaves it is a count for each class and a
-    spanning forest of its links, never the pairs. All pairs of classes are screened, so the work is quadratic in
-    different vectors, at a few operations a pair.
+    spanning forest of its links, never the pairs. All pairs of classes of a width are screened, so the work is quadratic in
+    different vectors, at a few operations a pair, and each vector is copied once for every tile of its width.
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing: n_links 0 and a
-    component of their own. Those of another width than most link with their equals only. A null vec_id is carried along. No vectors give no rows.
+    component of their own. Any others link by cosine, however large or small their components are; those of different widths never do.
+    A null vec_id is carried along. Repeated rows are vectors like any others, other columns are ignored. No vectors give no rows.
     """
+    spark = ship(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     usable = F.coalesce(
         F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
     )
     good = rows.where(usable).withColumn("width", F.size("v"))
     classes = cut(good.groupBy("width", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("class", F.monotonically_increasing_id()))
-    widths = {r.width: r.n for r in classes.groupBy("width").agg(F.count("*").alias("n")).collect()}  # a row for each width
-    if not widths:
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = max(widths, key=lambda w: (widths[w], w))
-    tiles = -(-widths[width] // tile)
-    turn = rotation(width)
+    tiles = cut(classes.groupBy("width").agg(F.count("*").alias("n")).select("width", tile_count(F.col("width"), F.col("n"), tile).cast("int").alias("tiles")))
+    if tiles.limit(BROADCAST_WIDTHS + 1).count() <= BROADCAST_WIDTHS:
+        tiles = F.broadcast(tiles)
 
     def with_code(batches):
         for pdf in batches:
-            x = np.array(pdf["v"].to_list(), np.float64).reshape(-1, width)
-            norms = np.linalg.norm(x, axis=1)
-            bits, factor = code(x / norms[:, None], turn)
-            yield pd.DataFrame({"class": pdf["class"], "n": pdf["n"], "v": [r.tobytes() for r in x], "bits": [b.tobytes() for b in bits], "factor": factor})
-
-    coded = classes.where(F.col("width") == width).select("class", "n", "v").mapInPandas(with_code, "class bigint, n bigint, v binary, bits binary, factor double")
-    mine = F.pmod(F.xxhash64("class"), F.lit(tiles))
-    every = F.sequence(F.lit(0), F.lit(tiles - 1))
-    dealt = coded.withColumn("mine", mine).select("*", F.explode(every).alias("other"))
-    dealt = dealt.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "n", "v", "bits", "factor")
+            v, at = list(pdf["v"]), pdf["width"].to_numpy()
+            stored, bits, factor = [None] * len(v), [None] * len(v), np.zeros(len(v))
+            for width in np.unique(at):
+                some = np.flatnonzero(at == width)
+                x = scaled(np.stack([np.asarray(v[k], np.float64) for k in some]))
+                packed, factor[some] = code(x / np.linalg.norm(x, axis=1)[:, None], rotation(int(width)))
+                for k, one, b in zip(some.tolist(), x, packed, strict=True):
+                    stored[k], bits[k] = one.tobytes(), b.tobytes()
+            yield pd.DataFrame({"class": pdf["class"], "n": pdf["n"], "width": pdf["width"], "tiles": pdf["tiles"], "v": stored, "bits": bits, "factor": factor})
+
+    listed = classes.select("class", "n", "width", "v").join(tiles, "width").select("class", "n", "width", "tiles", "v")
+    coded = listed.mapInPandas(with_code, "class bigint, n bigint, width int, tiles int, v binary, bits binary, factor double")
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    dealt = coded.withColumn("mine", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")).select("*", F.explode(every).alias("other"))
+    dealt = dealt.select("width", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "n", "v", "bits", "factor")
 
     def compare(key, pdf):
-        i, j = key
-        x, y = pdf[pdf["mine"] == i], pdf[pdf["mine"] == j]
-        ids, n = pdf["class"].to_numpy(), pdf["n"].to_numpy()
-        ax, ay = np.flatnonzero(pdf["mine"] == i), np.flatnonzero(pdf["mine"] == j)
-        links, parent = np.zeros(len(pdf), np.int64), list(range(len(pdf)))
-
-        def find(a):
-            while parent[a] != a:
-                parent[a] = parent[parent[a]]
-                a = parent[a]
-            return a
-
-        if len(x) and len(y):
-            whole = lambda part, column, kind: np.frombuffer(b"".join(part[column]), kind).reshape(len(part), -1)
-            vx, vy = whole(x, "v", np.float64), whole(y, "v", np.float64)
-            for a, b in linked(vx, vy, whole(x, "bits", np.uint8), x["factor"].to_numpy(), turn, threshold):
+        width, i, j = (int(k) for k in key)
+        mine, ids, n = pdf["mine"].to_numpy(), pdf["class"].to_numpy(), pdf["n"].to_numpy()
+        ax, ay = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        links, label = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+        if len(ax) and len(ay):
+            whole = lambda at, column, kind: np.frombuffer(b"".join(pdf[column].iloc[at]), kind).reshape(len(at), -1)
+            vx, vy = whole(ax, "v", np.float64), whole(ay, "v", np.float64)
+            for a, b in linked(vx, vy, whole(ax, "bits", np.uint8), pdf["factor"].to_numpy()[ax], rotation(width), threshold):
                 a, b = ax[a], ay[b]
                 if i == j:
                     apart = a != b
@@ -123,14 +149,12 @@ def near_vectors(
                 np.add.at(links, a, n[b])
                 if i != j:
                     np.add.at(links, b, n[a])
-                for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                    p, q = find(p), find(q)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
+                if (label[a] != label[b]).any():
+                    label = label_pairs(len(label), label[a], label[b])[label]
         some = np.flatnonzero(links)
-        return pd.DataFrame({"class": ids[some], "links": links[some], "root": ids[[find(k) for k in some.tolist()]]})
+        return pd.DataFrame({"class": ids[some], "links": links[some], "root": ids[label[some]]})
 
-    found = cut(dealt.groupBy("i", "j").applyInPandas(compare, "class bigint, links bigint, root bigint"))
+    found = cut(dealt.groupBy("width", "i", "j").applyInPandas(compare, "class bigint, links bigint, root bigint"))
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("root").alias("a"), F.col("class").alias("b")))
     named = classes.join(counts, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
@@ -146,6 +170,7 @@ def near_vectors(
 
 
 def op6_rotated_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_vectors`` of all rows of ``embeddings`` at a cosine of 0.95."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

@@ -7,16 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .tokens import texts_of
 
 #: Hashed n-gram kinds; a model has so many numbers for each language.
 BUCKETS = 1 << 16
-#: Languages that may share a document, and steps of expectation-maximisation at most.
-MIXED, STEPS = 3, 25
+#: Steps of expectation-maximisation at most; it mostly ends before, when no more can be gained.
+STEPS = 100
 UNKNOWN = "und"
+#: With fewer n-grams than this, nothing is said of how well languages explain a text.
+LEAST_GRAMS = 20
 #: Labelled documents that a model is learned from, about.
 TRAINING_ROWS = 200_000
 
@@ -56,7 +59,8 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> tup
     """(languages, log-probabilities [BUCKETS, languages]) from all rows with a text and a language.
 
     Every task adds up its own counts before they are summed by language and bucket, and the
-    model's size depends on the languages alone.
+    model's size depends on the languages alone. Texts count whole, repeated rows as often as they come; no such rows give a
+    model without languages.
     """
 
     def count(batches):
@@ -73,6 +77,7 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> tup
             columns = [pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(total[used], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
 
+    ship(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     summed = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = summed.toPandas()  # BUCKETS rows for each language at most
@@ -83,33 +88,54 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> tup
     return names, np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * BUCKETS)).T.copy()
 
 
-def proportions(counts: np.ndarray, logs: np.ndarray, members: tuple[int, ...]) -> tuple[np.ndarray, float]:
+def proportions(counts: np.ndarray, logs: np.ndarray, members: tuple[int, ...], start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """(proportions of the languages ``members``, log-likelihood) by expectation-maximisation.
 
     ``counts`` are the document's distinct n-grams' counts, ``logs`` their log-probabilities by language.
+    The log-likelihood is concave in the proportions, so the largest slope tells how much can be gained at most: steps
+    end when that is below a hundredth.
     """
     if len(members) == 1:
         return np.ones(1), float(counts @ logs[:, members[0]])
     part = logs[:, members]
-    top = part.max(axis=1, keepdims=True)
-    likely = np.exp(part - top)
-    share = np.full(len(members), 1 / len(members))
-    total, base = counts.sum(), float(counts @ top[:, 0])
-    before = -np.inf
+    top = part.max(axis=1)
+    likely = np.exp(part - top[:, None])
+    share = np.full(len(members), 1 / len(members)) if start is None else start
+    total, base = counts.sum(), float(counts @ top)
     for _ in range(STEPS):
         mixed = likely @ share
-        now = float(counts @ np.log(mixed))
-        if now - before < 1e-3:
+        slope = likely.T @ (counts / mixed)
+        if float(slope.max()) - total < 1e-2:
             break
-        share, before = share * (likely.T @ (counts / mixed)) / total, now
-    return share, base + now
+        share = share * slope / total
+    return share, base + float(counts @ np.log(likely @ share))
 
 
-def identify(found: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """The document's proportion of every language, those outside the chosen set at 0.
+def worth(counts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(best proportion, gain in log-likelihood) of each language added alone to a mixture; ``more`` is its likelihood over the mixture's, less 1.
+
+    Newton's steps on a concave curve for all languages at once, between bounds that close in on its top.
+    """
+    low, high = np.zeros(more.shape[1]), np.full(more.shape[1], 1 - 1e-9)
+    a = np.where(counts @ more > 0, 0.1, 0.0)
+    high[a == 0] = 0.0
+    for _ in range(12 if a.any() else 0):
+        d = more / (1 + a * more)
+        slope, curve = counts @ d, counts @ (d * d)
+        low, high = np.where(slope > 0, a, low), np.where(slope > 0, high, a)
+        a = a + slope / np.maximum(curve, 1e-300)
+        a = np.where((a >= low) & (a <= high), a, (low + high) / 2)
+        if (np.abs(slope) * (high - low) < 1e-2).all():
+            break
+    return a, counts @ np.log1p(a * more)
+
+
+def identify(found: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, float]:
+    """(the document's proportion of every language, those outside the chosen set at 0; log-likelihood of the set).
 
     Sets grow greedily from the best single language. A set of k languages is worth its log-likelihood less half the log of the
-    n-grams for each free proportion (k - 1) and each choice of a member; one more language must raise that.
+    n-grams for each free proportion (k - 1) and each choice of a member; the language that adds most comes next,
+    and only one that adds no more than that ends the growth.
     """
     languages = logs.shape[1]
     kinds, counts = np.unique(found, return_counts=True)
@@ -119,33 +145,25 @@ def identify(found: np.ndarray, logs: np.ndarray) -> np.ndarray:
     single = counts @ part
     chosen = (int(np.argmax(single)),)
     share, best = np.ones(1), float(single[chosen[0]])
-    while len(chosen) < min(MIXED, languages):
-        # The language that explains most of what the set explains badly is the next to try.
-        mixed = np.logaddexp.reduce(part[:, chosen] + np.log(np.maximum(share, 1e-12)), axis=1)
-        gain = counts @ np.maximum(part - mixed[:, None], 0)
-        gain[list(chosen)] = -np.inf
-        more = (*chosen, int(np.argmax(gain)))
-        if gain[more[-1]] <= penalty:
+    while len(chosen) < languages:
+        top = part[:, chosen].max(axis=1)
+        mixed = top + np.log(np.exp(part[:, chosen] - top[:, None]) @ share)
+        others = [k for k in range(languages) if k not in chosen]
+        a, gain = worth(counts, np.expm1(part[:, others] - mixed[:, None]))
+        k = int(np.argmax(gain))
+        if gain[k] <= penalty:
             break
-        shares, likelihood = proportions(counts, part, more)
-        if likelihood - best <= penalty:
-            break
-        chosen, share, best = more, shares, likelihood
+        chosen = (*chosen, others[k])
+        share, best = proportions(counts, part, chosen, np.append(share * (1 - a[k]), a[k]))
     out = np.zeros(languages)
     out[list(chosen)] = share
-    return out
+    return out, best
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred``, ``score`` and ``lang_shares`` (map of the languages found) to every row.
-
-    The language of the largest proportion wins (ties: the first by name); ``score`` is its proportion. Null texts, texts without letters and models without
-    languages give ``und``, 0 and an empty map. Columns of those names are replaced.
-    """
+def judged(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> Column:
+    """Struct (lang_pred, score, lang_shares, surplus) of a text, for ``predict`` and for filters."""
     names, logs = model
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((names, logs.astype(np.float32)))  # 256 kB for each language
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_shares")]
+    shared = docs.sparkSession.sparkContext.broadcast((names, logs.astype(np.float32)))  # 256 kB for each language
 
     def judge(texts):
         names, logs = shared.value
@@ -154,17 +172,30 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str =
             for one in series:
                 found = grams(one)
                 if not len(found) or not names:
-                    out.append((UNKNOWN, 0.0, {}))
+                    out.append((UNKNOWN, 0.0, {}, None))
                     continue
-                share = identify(found, logs)
+                share, likelihood = identify(found, logs)
                 best = int(np.argmax(share))
-                out.append((names[best], float(min(1.0, max(0.0, share[best]))), {names[k]: float(share[k]) for k in np.flatnonzero(share > 0)}))
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "lang_shares"])
+                surplus = likelihood / len(found) + np.log(BUCKETS) if len(found) >= LEAST_GRAMS else None
+                out.append((names[best], float(min(1.0, max(0.0, share[best]))), {names[k]: float(share[k]) for k in np.flatnonzero(share > 0)}, surplus))
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "lang_shares", "surplus"])
 
     judge.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    udf = F.pandas_udf(judge, "lang_pred string, score double, lang_shares map<string,double>")
-    judged = docs.select(*[F.col(f"`{c}`") for c in kept], udf(F.col(text)).alias("__judged"))
-    return judged.select(*[F.col(f"`{c}`") for c in kept], "__judged.*")
+    return F.pandas_udf(judge, "lang_pred string, score double, lang_shares map<string,double>, surplus double")(F.col(text))
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str = "text") -> DataFrame:
+    """Adds ``lang_pred``, ``score``, ``lang_shares`` (map of the languages found) and ``surplus`` to every row.
+
+    The language of the largest proportion wins (ties: the first by name); ``score`` is its proportion. ``surplus`` is by how much, in nats for each
+    n-gram, the languages found explain the text better than evenly spread n-grams would (null below LEAST_GRAMS). Null texts, texts without letters and models without
+    languages give ``und``, 0, an empty map and null. Columns of those names are replaced; repeated rows are judged alike; texts are
+    judged whole, however long; no rows give none.
+    """
+    ship(docs.sparkSession)
+    added = ("lang_pred", "score", "lang_shares", "surplus")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
+    return docs.select(*kept, judged(docs, model, text).alias("__judged")).select(*kept, "__judged.*")
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2):
@@ -172,13 +203,19 @@ def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2):
 
 
 def labelled_rows(docs: DataFrame, *, most: int = TRAINING_ROWS) -> DataFrame:
-    """(text, lang) of rows outside the held-out fold that have both, about ``most`` of them, drawn by a hash of their ids."""
+    """(text, lang) of rows outside the held-out fold that have both, about ``most`` of them, drawn by a hash of their ids and places.
+
+    The place takes part, so that rows which share an id, or have none, are drawn one by one.
+    """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = max(known.count(), 1)
-    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most).select("text", "lang")
+    if n <= most:
+        return known.select("text", "lang")
+    return known.where(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n)) < most).select("text", "lang")
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``predict`` for the whole texts of ``documents``, learned outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = held_out()
     model = train(labelled_rows(docs))
