@@ -31,7 +31,8 @@ def format_conversations(
     change of role closes the message before and opens one, and adjacent turns of one role stay in one message, a
     separator between them. ``mask`` lists for each turn how many characters come before its text, how long
     the text is there, and whether it is learned, which the assistant's are. Null roles and texts are empty
-    strings; repeated rows are repeated turns; a null conv_id is a conversation of its own. No rows give none.
+    strings; repeated rows are repeated turns; a null conv_id is a conversation of its own; other columns are ignored. A conversation is one
+    string, so its turns meet in one row, and texts and conversations may be as long as a string can be. No rows give none.
     """
     rows = turns.select(
         F.col(conv_id).cast("bigint").alias("conv_id"),
@@ -51,37 +52,35 @@ def format_conversations(
 
 
 def read_back(formatted: DataFrame, *kept: str) -> DataFrame:
-    """(conv_id, formatted, turns: array of (role, text)), parsed from the formatted strings alone; ``kept`` columns follow."""
+    """(conv_id, formatted, turns: array of (role, text, body: the text as it stands there)), parsed from the formatted strings alone; ``kept`` columns follow."""
     messages = F.split("formatted", F.lit(r"<\|im_end\|>\n"), -1)
     messages = F.slice(messages, F.lit(1), F.size(messages) - 1)
 
     def turns_of(message: Column) -> Column:
         parts = F.split(F.substring(message, len(START) + 1, F.length(message)), F.lit(r"<\|im_sep\|>"), -1)
         one = F.transform(
-            F.array(parts), lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 1), lambda x: F.struct(unescape(p[0]).alias("role"), unescape(x).alias("text")))
+            F.array(parts), lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 1), lambda x: F.struct(unescape(p[0]).alias("role"), unescape(x).alias("text"), x.alias("body")))
         )
         return one[0]
 
     return formatted.select("conv_id", "formatted", F.flatten(F.transform(messages, turns_of)).alias("turns"), *kept)
 
 
-def under_mask(formatted: Column, mask: Column) -> Column:
-    """Array of the texts that the mask says are learned, cut from the formatted string by position and unescaped."""
+def under_mask(turns: Column, mask: Column) -> Column:
+    """Array of the texts under the mask: those of the turns read back (role, text, body) whose places the mask marks as learned.
 
-    def step(state: Column, m: Column) -> Column:
-        start = state["at"] + m["skip"]
-        text = unescape(F.substring(formatted, start + 1, m["length"]))
-        texts = F.when(m["learned"], F.concat(state["texts"], F.array(text))).otherwise(state["texts"])
-        return F.struct((start + m["length"]).alias("at"), texts.alias("texts"))
-
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("texts"))
-    return F.aggregate(mask, none, step, lambda state: state["texts"])
+    A turn's place is what comes before it in the string, so the mask fits if it has as many places as there are turns and each says as many
+    characters as that turn's text has there; a mask that does not fit is an error. No position is looked up in the string anew for each turn.
+    """
+    both = F.arrays_zip(turns.alias("turn"), mask.alias("place"))
+    fits = F.forall(both, lambda x: F.coalesce(F.length(x["turn"]["body"]) == x["place"]["length"], F.lit(False)))
+    texts = F.transform(F.filter(both, lambda x: x["place"]["learned"]), lambda x: x["turn"]["text"])
+    return F.when(fits, texts).otherwise(F.raise_error(F.lit("the loss mask does not fit the formatted text")).cast("array<string>"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What a reader of the output finds in it, one row for each conversation: its turns by the marks, what is learned by the mask."""
-    learned = F.array_join(under_mask(F.col("formatted"), F.col("mask")), "")
-    read = read_back(formatted.withColumn("learned", learned), "learned")
+    read = read_back(formatted, "mask").withColumn("learned", F.array_join(under_mask(F.col("turns"), F.col("mask")), ""))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
@@ -91,6 +90,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``digests`` of all ``conversations``, and of one more whose texts hold control strings."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     own = spark.sql("SELECT CAST(id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM VALUES (-1, 0, 'user', :t), (-1, 1, 'assistant', :t) AS v(id, turn, role, text)", {"t": tricky})

@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from .common import written
 from .tokens import default_vocabulary, encoder, texts_of
 
 SEQUENCE = 2048
 #: Bits of a row's number that count the rows of its input partition.
 PART_BITS = 40
-#: Plans of up to so many rows are broadcast (under 4 MB); larger ones are joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: Plans of up to so many rows are broadcast (under 4 MB); larger ones are joined by shuffle, on stretches of so many remainders of a length.
+BROADCAST_ROWS, STRETCH = 20_000, 4096
 
 SEGMENTS = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("rest", "lo", "hi", "skip", "length", "place", "first_sequence", "per_sequence", "first_offset")]
@@ -172,6 +173,20 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return ranked.join(bases, ["rest", "salt"]).withColumn("nth", F.col("nth") + F.col("base")).drop("salt", "base")
 
 
+def joined_plan(remainders: DataFrame, placed: DataFrame, small: bool) -> DataFrame:
+    """Each remainder with the segments that hold it.
+
+    Beyond a broadcast, both sides meet by length and stretch of numbers, so a length that most documents share is dealt to many tasks,
+    and its remainders meet the segments of their stretch only.
+    """
+    inside = (F.col("nth") >= F.col("lo")) & (F.col("nth") < F.col("hi"))
+    if small:
+        return remainders.join(F.broadcast(placed), "rest").where(inside)
+    stretches = F.sequence(F.floor(F.col("lo") / STRETCH), F.floor((F.col("hi") - 1) / STRETCH))
+    placed = placed.withColumn("stretch", F.explode(stretches))
+    return remainders.withColumn("stretch", F.floor(F.col("nth") / STRETCH)).join(placed, ["rest", "stretch"]).where(inside).drop("stretch")
+
+
 def pack(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 1, size: int = SEQUENCE, digest: bool = False
 ) -> DataFrame:
@@ -180,22 +195,18 @@ def pack(
     A document's whole windows of ``size`` ids are sequences of their own; what remains is placed by
     ``plan``. Every sequence is full, but for at most log2(size) last ones whose lengths are powers of two.
     Null text is empty and gives the end id alone. Rows are told apart by their place, so null or repeated
-    ids and equal rows are packed like any others. An empty table gives no piece. ``ids`` are
+    ids and equal rows are packed like any others, texts whole however long, other columns ignored. An empty table gives no piece. ``ids`` are
     little-endian, two bytes each for vocabularies of up to 65,536 ids and four bytes otherwise; with ``digest``, their crc32
     as four-byte integers takes their place.
     """
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     tokens = written(encode_rows(docs, doc_id=doc_id, text=text, vocabulary=vocabulary, end_id=end_id), "packing-ids")
     sizes = tokens.select("row", "n", F.floor(F.col("n") / size).alias("whole"), (F.col("n") % size).alias("rest"))
 
     # At most size - 1 rows, whatever the corpus.
     histogram = {r.rest: r.c for r in sizes.where("rest > 0").groupBy("rest").agg(F.count("*").alias("c")).collect()}
     segments, filled = plan(histogram, size)
-    placed = spark.createDataFrame(segments, SEGMENTS)
-    if len(segments) <= BROADCAST_ROWS:
-        placed = F.broadcast(placed)
-
-    remainders = _numbered(sizes.where("rest > 0")).join(placed, "rest").where("nth >= lo and nth < hi")
+    remainders = joined_plan(_numbered(sizes.where("rest > 0")), spark.createDataFrame(segments, SEGMENTS), small=len(segments) <= BROADCAST_ROWS)
     i = F.col("nth") - F.col("lo") + F.col("place")
     small = remainders.select(
         "row", (F.col("whole") * size + F.col("skip")).alias("start"), "length",
@@ -241,4 +252,5 @@ def _pieces(batch: pa.RecordBatch, digest: bool) -> pa.RecordBatch:
 
 
 def op4_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences of 2048 ids, with a digest in place of each piece's ids."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import connected_components, cut, label_pairs, written
 from .tokens import texts_of
 
@@ -41,16 +42,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits * 2 > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row."""
+def fingerprints(docs: DataFrame, *, text: str = "text", **carried: str) -> DataFrame:
+    """Fingerprints ``fp`` of every row, after the bigint columns that ``carried`` names: new names for columns of ``docs``."""
 
     def hash_texts(batches):
         for batch in batches:
             fps = [fingerprint(t) for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(fps, pa.int64())], [*carried, "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(hash_texts, "doc_id bigint, fp bigint")
+    ship(docs.sparkSession)
+    rows = docs.select(*[F.col(c).cast("bigint").alias(name) for name, c in carried.items()], F.col(text).alias("text"))
+    return rows.mapInArrow(hash_texts, ", ".join(f"{c} bigint" for c in [*carried, "fp"]))
 
 
 def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int, tile: int = 512):
@@ -176,22 +178,41 @@ def _compared(columns: list[np.ndarray], starts: np.ndarray, radius: int) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(low[root][ends], pa.int64()), pa.array(fps[ends], pa.int64())], ["a", "b"])
 
 
+def roots(fps: DataFrame, *, radius: int = RADIUS) -> DataFrame:
+    """(fp, root) for every different ``fp``: the smallest fingerprint that links reach."""
+    classes = cut(fps.select("fp").distinct())
+    linked = connected_components(links(classes, radius=radius))
+    return classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest id that links reach.
 
     Equal fingerprints meet in one group first, so copies are never compared. Rows without words, null text among them, share
-    fingerprint 0. A null id is carried along but never names a component, unless all its ids are null.
+    fingerprint 0. A null id is carried along but never names a component, unless all its ids are null. Repeated rows come back as often
+    as they are there, texts are hashed whole however long, other columns are ignored, and an empty table gives no rows.
     """
-    hashed = written(fingerprints(docs, doc_id=doc_id, text=text), "simhash")
-    classes = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(classes.select("fp"), radius=radius))
-    joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    hashed = written(fingerprints(docs, text=text, doc_id=doc_id), "simhash")
+    named = cut(roots(hashed, radius=radius))
+    least = hashed.groupBy("fp").agg(F.min("doc_id").alias("least"))  # a row for each fingerprint before anything is joined
+    names = least.join(named, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     # Written, so that the last join deals out both sides anew and can split a fingerprint that very many rows share.
-    named = cut(joined.select("fp", "root").join(names, "root").select("fp", "component_id"))
+    named = cut(named.join(names, "root").select("fp", "component_id"))
     return hashed.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(rows: DataFrame, *, row: str, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(row): one row's number for each group of near-duplicates, that of the smallest id (null ids last), then of the smallest number.
+
+    ``row`` must number the rows; ids may be null or repeat. Empty tables give none.
+    """
+    hashed = written(fingerprints(rows, text=text, row=row, id=doc_id), "simhash")
+    least = cut(hashed.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("order")))
+    best = least.join(roots(hashed, radius=radius), "fp").groupBy("root").agg(F.min("order").alias("order"))
+    return best.select(F.col("order.row").alias("row"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``components`` of all ``documents``, fingerprints as 16 lower-case hex digits."""
     found = components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import cut
 from .tokens import default_vocabulary, encoder, texts_of
 
@@ -13,7 +14,8 @@ from .tokens import default_vocabulary, encoder, texts_of
 def encoded_lengths(docs: DataFrame, *, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Documents by encoded length: (length, n_docs). Null text counts as empty, of length 0.
 
-    Each task sums its own documents first, so what is shuffled is a row for each length and task.
+    Each task sums its own documents first, so what is shuffled is a row for each length and task. Repeated rows count as often as they
+    come, texts are encoded whole however long, other columns are ignored, and an empty table gives no row.
     """
     path = vocabulary or default_vocabulary()
 
@@ -27,6 +29,7 @@ def encoded_lengths(docs: DataFrame, *, text: str = "text", vocabulary: str | No
             [pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n"]
         )
 
+    ship(docs.sparkSession)
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "length bigint, n bigint")
     return counted.groupBy("length").agg(F.sum("n").alias("n_docs"))
 
@@ -82,6 +85,7 @@ def truncated_total(report: DataFrame, limit: int) -> DataFrame:
 
 
 def op3_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``length_report`` of all ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return length_report(cut(encoded_lengths(docs)))  # the report reads the lengths twice
 

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import written
 from .simple8b import decode, encode
 from .tokens import default_vocabulary, encoder, texts_of
@@ -28,9 +29,10 @@ def encode_documents(
 ) -> DataFrame:
     """The documents' ids as rows of ``CONTAINERS``, in ascending order of ``doc_id``.
 
-    A range partitioning by id (ties by text) makes each partition a shard whose documents follow
-    those of the shard before. Null text is empty text and gives the end id alone; a null id sorts
-    first; repeated rows are coded as often as they come; other columns are ignored; an empty table
+    A range partitioning by id (ties by a hash of the text, then by place) makes each partition a shard whose documents follow
+    those of the shard before; the ties part rows that share an id, or have none, among shards too. Null text is empty text and
+    gives the end id alone; a null id sorts
+    first; repeated rows are coded as often as they come; texts are coded whole, however long; other columns are ignored; an empty table
     gives no container. ``words`` are little-endian Simple-8b words.
     """
     path = vocabulary or default_vocabulary()
@@ -62,9 +64,10 @@ def encode_documents(
         if names:
             yield container()
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    order = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return order.mapInArrow(code, CONTAINERS)
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("place"))
+    order = ["doc_id", "tie", "place"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(code, CONTAINERS)
 
 
 def write_files(docs: DataFrame, path: str, **options) -> None:
@@ -108,5 +111,6 @@ def read_documents(containers: DataFrame) -> DataFrame:
 
 
 def op2_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` encoded, written as containers, and read back from them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return read_documents(written(encode_documents(docs), "token-ids"))

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+from .common import cut
 from .tokens import texts_of
 
 THRESHOLD = 0.7
@@ -22,37 +28,58 @@ TRAINING_ROWS = 30_000
 HELD = 100_000
 #: Lengths of the word beginnings that may be listed besides whole words.
 STEMS = (4, 5, 6, 7)
-#: The lexicon holds the strongest words only; more than this many are never needed to tell.
-LEXICON = 20_000
-
-#: Look-alikes of Latin letters, folded to them.
+#: Look-alikes of Latin letters in other scripts, folded to them.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
-    "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x",
-    "ı": "i", "ɡ": "g", "ɑ": "a", "ℓ": "l", "ⅼ": "l", "ⅰ": "i",
+    "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "ґ": "r", "г": "r", "п": "n", "и": "u", "ѵ": "v", "ь": "b", "ѡ": "w", "ҽ": "e", "ғ": "f",
+    "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x", "η": "n", "ω": "w", "γ": "y", "ϲ": "c", "ϳ": "j",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "ք": "p", "յ": "j",
+    "ı": "i", "ɡ": "g", "ɑ": "a", "ℓ": "l", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ŧ": "t", "þ": "p", "ð": "d",
 }
 #: Digits and signs that stand for letters inside words.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
-#: Phrases in which a listed word means no harm; the hits they cover don't count.
+#: Phrases in which a listed word means no harm; the hits they cover don't count. More are learned.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown", "stupid me", "pond scum", "scum line", "worthless check", "sore loser board")
-
-
-def _table() -> dict[int, str]:
-    table = {ord(k): v for k, v in LOOKALIKES.items()}
-    table |= {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) not in SUBSTITUTES}
-    table |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
-    table |= {c: " " for c in (0xA0, 0xAB, 0xBB, 0xBF, 0xA1, *range(0x2010, 0x2028), 0x2026)}
-    return table | {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
+#: How the character names of ornamented Latin letters begin or go on before the letter.
+ORNAMENTS = r"(?:LATIN (?:SMALL |CAPITAL )?LETTER (?:SMALL CAPITAL )?|(?:NEGATIVE |CROSSED NEGATIVE )?(?:CIRCLED|SQUARED|PARENTHESIZED) LATIN (?:SMALL |CAPITAL )?LETTER |REGIONAL INDICATOR SYMBOL LETTER |TAG LATIN (?:SMALL|CAPITAL) LETTER )([A-Z])(?: WITH .*)?"
+
+
+def _table() -> dict[int, str | None]:
+    """What every character is folded to that is not kept, by rule: its compatibility form without accents, or the letter in its name."""
+    table: dict[int, str | None] = {}
+    ornamented = re.compile(ORNAMENTS)
+    for code in (*range(0x80, 0x3000), *range(0xA640, 0xABFF), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200), *range(0xE0020, 0xE0080)):
+        one = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", one) if not unicodedata.combining(c)).lower()
+        plain = "".join(LOOKALIKES.get(c, c) for c in plain)
+        named = ornamented.fullmatch(unicodedata.name(one, ""))
+        if named and not plain.isascii() or plain == one.lower() and named:
+            plain = named[1].lower()
+        kind = unicodedata.category(one)
+        if kind in ("Cf", "Mn", "Me"):  # joiners, soft hyphens, accents on their own
+            table[code] = None
+        elif not plain.isalnum() and kind[0] in "PSZ" and not any(c.isalnum() for c in plain):
+            table[code] = " "
+        elif plain != one:
+            table[code] = plain
+    return table | {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) not in SUBSTITUTES}
 
 
 _TABLE = str.maketrans(_table())
 _SUBSTITUTES = str.maketrans(SUBSTITUTES)
 _SIGNS = frozenset(SUBSTITUTES)
+#: Three or more single letters, each followed by the same sign: a word that is spelled out.
+_SPELLED = re.compile(r"(?<![^\W_])[^\W\d_]([.\-_*·•]{1,2})(?:[^\W\d_]\1)+[^\W\d_](?![^\W_])")
+#: The last letters of such a word: a quick look at texts that have none.
+_SPELLED_END = re.compile(r"[.\-_*·•][^\W\d_][.\-_*·•]{1,2}[^\W\d_](?![^\W_])")
 
 
 def folded(text: str | None) -> list[str]:
-    """The text's words: lower-case, look-alikes as Latin letters, digits inside words as the letters they stand for."""
-    words = (text or "").lower().translate(_TABLE).split()
+    """The text's words: lower-case, look-alikes, ornamented and accented letters as plain ones, digits inside words as the letters they stand for, spelled-out words as one."""
+    low = (text or "").lower()
+    if _SPELLED_END.search(low):
+        low = _SPELLED.sub(lambda m: "".join(c for c in m[0] if c.isalpha()), low)
+    words = low.translate(_TABLE).split()
     for i, w in enumerate(words):
         if not w.isalpha() and not _SIGNS.isdisjoint(w):
             bare = w.rstrip("0123456789@$") if w[0].isalpha() and w[-1] in "@$" else w
@@ -78,8 +105,8 @@ def learn_lexicon(labelled: DataFrame, *, text: str = "text", label: str = "toxi
 
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
     counts = rows.mapInArrow(count, "word string, bad bigint, good bigint").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    # The empty word stands for every document.
-    tested = counts.where((F.col("bad") >= LEAST_DOCS) | (F.col("word") == ""))
+    # The empty word stands for every document. Cut, since what follows reads the counts three times.
+    tested = cut(counts.where((F.col("bad") >= LEAST_DOCS) | (F.col("word") == "")))
     total = tested.where("word = ''").select(F.col("bad").alias("all_bad"), F.col("good").alias("all_good")).collect()
     if not total or not total[0].all_bad or not total[0].all_good:
         return {}
@@ -93,8 +120,44 @@ def learn_lexicon(labelled: DataFrame, *, text: str = "text", label: str = "toxi
     ratio = 2 * (xlog(F.col("bad"), share, rate) + xlog(F.col("good"), 1 - share, 1 - rate))
     weight = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - math.log((bad + 0.5) / (good + 0.5))
     listed = words.where((share >= F.greatest(F.lit(LEAST_SHARE), F.lit(min(0.95, 2 * rate)))) & (ratio >= 2 * math.log(number)))
-    top = listed.select("word", weight.alias("weight"), ratio.alias("ratio")).orderBy(F.desc("ratio"), "word").limit(LEXICON)
-    return {r.word: r.weight for r in top.collect()}
+    return {r.word: r.weight for r in listed.select("word", weight.alias("weight")).collect()}  # words of TRAINING_ROWS texts at most
+
+
+def learn_exceptions(labelled: DataFrame, lexicon: dict[str, float], *, text: str = "text", label: str = "toxic", given=EXCEPTIONS) -> tuple[str, ...]:
+    """The given phrases and those learned: a hit with the word before or after it, whose documents are far more harmless than the hit's are.
+
+    Documents are counted. A phrase is listed if at least LEAST_DOCS of its documents are harmless, its toxic share is no larger than that of all
+    documents, and its log-likelihood ratio against the toxic share of its hit passes twice the log of the number of phrases.
+    """
+    shared = labelled.sparkSession.sparkContext.broadcast(lexicon)
+
+    def count(batches):
+        machine = automaton(shared.value, ())
+        for batch in batches:
+            seen: dict[tuple[str, str], list[int]] = {}
+            for one, is_bad in zip(texts_of(batch, "text"), batch.column("label").to_pylist(), strict=True):
+                words = folded(one)
+                found = {("", "")} | {(p, words[i]) for i in hit_words(words, machine) for p in ("", *(" ".join(words[a : a + 2]) for a in (i - 1, i) if a >= 0 and a + 1 < len(words)))}
+                for key in found:
+                    seen.setdefault(key, [0, 0])[1 - is_bad] += 1
+            yield pa.RecordBatch.from_pydict(
+                {"phrase": pa.array([k[0] for k in seen], pa.string()), "word": pa.array([k[1] for k in seen], pa.string()), "bad": pa.array([v[0] for v in seen.values()], pa.int64()), "good": pa.array([v[1] for v in seen.values()], pa.int64())}
+            )
+
+    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+    counts = cut(rows.mapInArrow(count, "phrase string, word string, bad bigint, good bigint").groupBy("phrase", "word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    everything = counts.where("phrase = '' and word = ''").first()
+    if everything is None:
+        return tuple(given)
+    phrases = counts.where("phrase <> ''")
+    number = max(phrases.count(), 2)
+    of_word = counts.where("phrase = '' and word <> ''").select("word", ((F.col("bad") + 0.5) / (F.col("bad") + F.col("good") + 1)).alias("rate"))
+    n, share = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
+    xlog = lambda k, p, q: F.when(k > 0, k * F.log(p / q)).otherwise(F.lit(0.0))
+    ratio = 2 * (xlog(F.col("bad"), share, F.col("rate")) + xlog(F.col("good"), 1 - share, 1 - F.col("rate")))
+    usual = everything.bad / max(1, everything.bad + everything.good)
+    harmless = phrases.join(of_word, "word").where((F.col("good") >= LEAST_DOCS) & (n > 0) & (share <= usual) & (ratio >= 2 * math.log(number)))
+    return tuple(dict.fromkeys((*given, *sorted(r.phrase for r in harmless.select("phrase").distinct().collect()))))
 
 
 def _document_counts(batches):
@@ -130,6 +193,14 @@ def automaton(lexicon: dict[str, float], exceptions=EXCEPTIONS):
     return machine
 
 
+def hit_words(words: list[str], machine) -> set[int]:
+    """Numbers of the words that the lexicon hits."""
+    if not words or not len(machine):
+        return set()
+    ends = np.cumsum([len(w) + 1 for w in words])  # where each word's blank is, counted from the one before the first
+    return {int(np.searchsorted(ends, end - length + 2)) for end, (length, weight) in machine.iter(f" {' '.join(words)} ") if weight is not None}
+
+
 def measure(text: str | None, machine) -> tuple[float, int, int]:
     """(sum of the weights hit, hits, words) of a text; hits inside an exception phrase don't count."""
     words = folded(text)
@@ -139,7 +210,11 @@ def measure(text: str | None, machine) -> tuple[float, int, int]:
     for end, (length, weight) in machine.iter(f" {' '.join(words)} "):
         (hits if weight is not None else spared).append((end - length + 1, end, weight))
     if spared:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+        # Of the phrases that begin no later than a hit, does the one that reaches farthest cover it?
+        spared.sort(key=lambda p: p[0])
+        starts, reach = [p[0] for p in spared], list(accumulate((p[1] for p in spared), max))
+        covered = lambda h: (k := bisect_right(starts, h[0])) > 0 and reach[k - 1] >= h[1]
+        hits = [h for h in hits if not covered(h)]
     best: dict[int, float] = {}
     for start, _, weight in hits:  # a word counts once, by its strongest entry
         best[start] = max(weight, best.get(start, weight))
@@ -177,7 +252,7 @@ def calibrate(measured: DataFrame) -> tuple[float, float]:
 
 
 def _measure_udf(lexicon: dict[str, float], exceptions, spark: SparkSession):
-    shared = spark.sparkContext.broadcast((lexicon, tuple(exceptions)))  # LEXICON words at most
+    shared = ship(spark).sparkContext.broadcast((lexicon, tuple(exceptions)))  # words of TRAINING_ROWS texts at most
 
     def judge(texts):
         machine = automaton(*shared.value)
@@ -196,26 +271,36 @@ class Model:
 
 
 def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic", exceptions=EXCEPTIONS) -> Model:
-    """Learns the lexicon and the curve from all rows whose label is 0 or 1."""
+    """Learns the lexicon, its exceptions and the curve from all rows whose label is 0 or 1.
+
+    Null texts are empty ones, repeated rows count as often as they come, texts count whole. No rows, or one label only, give a model
+    that finds nothing.
+    """
+    ship(labelled.sparkSession)
     lexicon = learn_lexicon(labelled, text=text, label=label)
     if not lexicon:
         return Model({}, 0.0, -30.0, exceptions)
+    exceptions = learn_exceptions(labelled, lexicon, text=text, label=label, given=exceptions)
     weigh = _measure_udf(lexicon, exceptions, labelled.sparkSession)
     rows = labelled.where(F.col(label).isin(0, 1)).select(weigh(F.col(text)).alias("evidence"), F.col(label).cast("int").alias("label"))
     return Model(lexicon, *calibrate(rows), exceptions)
 
 
+def chance(docs: DataFrame, model: Model, text: str = "text") -> Column:
+    """The chance of label 1 of a text, for ``score`` and for filters."""
+    weigh = _measure_udf(model.lexicon, model.exceptions, docs.sparkSession)
+    return 1 / (1 + F.exp(-(weigh(F.col(text)) * model.slope + model.offset)))
+
+
 def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) to every row, in place of columns of those names.
 
     Null and empty texts have no evidence and get the score of texts without hits, as does everything under an empty model (about 0).
+    Repeated rows get the same score; texts are read whole, however long; an empty table stays empty.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
-    weigh = _measure_udf(model.lexicon, model.exceptions, docs.sparkSession)
-    found = docs.select(*kept, weigh(F.col(text)).alias("__evidence"))
-    chance = 1 / (1 + F.exp(-(F.col("__evidence") * model.slope + model.offset)))
-    scored = found.withColumn("score", chance).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    return scored.drop("__evidence")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "predicted")]
+    scored = docs.select(*kept, chance(docs, model, text).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
@@ -225,15 +310,21 @@ def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
 def labelled_rows(docs: DataFrame, labels: DataFrame, *, most: int = TRAINING_ROWS) -> DataFrame:
     """(text, toxic) of rows outside the held-out fold, about ``most`` of them, drawn by a hash of their ids.
 
-    The drawn ids are so few that they are broadcast, so no text is shuffled. Of a document's repeated labels the largest counts.
+    The drawn ids are so few that they are broadcast, so no text is shuffled. Of a document's repeated labels the largest counts. Where
+    documents repeat a drawn id so often that there are over twice as many rows, those are drawn once more, by their places.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = max(known.count(), 1)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most)
-    return docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    drawn = F.broadcast(cut(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most)))
+    mine = docs.where(~held_out())
+    rows = mine.select("doc_id").join(drawn, "doc_id").count()
+    if rows > 2 * most:
+        mine = mine.where(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(rows)) < most)
+    return mine.select("doc_id", "text").join(drawn, "doc_id").select("text", "toxic")
 
 
 def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score`` of the whole texts of ``documents``, learned from labels outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(labelled_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return score(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")

@@ -24,7 +24,7 @@ DAMPING, STEPS, ROUNDS, TOLERANCE = 0.85, 4, 12, 1e-3
 #: Rules alone block a host if the share of its pages that they block exceeds the share that they allow by more than this.
 MARGIN = 0.5
 
-LINK = r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+LINK = r"""(?i)(?<![\w-])href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -97,7 +97,8 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
     however little that is (those that link to one seed share its distrust, so no fixed amount would do), or if
     rules block more of its pages than they allow by over MARGIN of all. Pages of other hosts, hosts unknown to
     rules and links and urls without a host among them, are allowed.
-    Null urls and null html are empty ones; repeated rows are judged like any other.
+    Null urls and null html are empty ones; repeated rows are judged like any other; urls and pages are read whole, however long; of fitting
+    rules of one length the last by name decides (two of one length that fit one url are equal); other columns are ignored; no pages give no rows.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
     judged = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
@@ -120,4 +121,5 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
 
 
 def op7_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``judge`` of all ``pages``."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
