@@ -6,7 +6,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -29,3 +29,12 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt anew if its files give fewer splits than there are cores, so that a small table in one file keeps them all busy.
+
+    Large tables have more splits than that and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
