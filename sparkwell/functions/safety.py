@@ -60,16 +60,24 @@ def unsupported_length(answer: Column, context: Column, role: Column) -> Column:
     return (role == "assistant") & (F.length(answer) > 3 * F.length(context)) & ~refers
 
 
-def guard(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``blocked_by``, ``sanitized`` and ``decision`` by the chain of all guardrails.
+#: The guardrails that block, in the order of the chain.
+BLOCKS = {"prompt-injection": INJECTION, "jailbreak": JAILBREAK, "prompt-leakage": LEAKAGE}
 
-    Later guardrails see what earlier ones left; the last one that blocks is named. Decision: block, else sanitize if the
-    text changed, else allow.
+
+def guard(texts: DataFrame, text: str = "text", *, blocks: dict = BLOCKS, stop: bool = False, context: str | None = None, role: Column | None = None) -> DataFrame:
+    """Adds ``blocked_by``, ``sanitized``, ``warned`` and ``decision`` by the chain of all guardrails.
+
+    Later guardrails see what earlier ones left. Of several that block the last one is named, or with ``stop`` the first, after which nothing is
+    sanitised. With a ``context``, answers (of ``role``, the assistant if none is given) that are long beside it and name no source are
+    warned of. Decision: block, else sanitize if the text changed, else review if there is a warning, else allow.
     """
-    blocks = {"prompt-injection": INJECTION, "jailbreak": JAILBREAK, "prompt-leakage": LEAKAGE}
     blocker = F.lit(None).cast("string")
-    for name, patterns in blocks.items():
+    for name, patterns in reversed(blocks.items()) if stop else blocks.items():
         blocker = F.when(F.size(matched(F.col(text), patterns)) > 0, name).otherwise(blocker)
-    guarded = texts.withColumn("blocked_by", blocker).withColumn("sanitized", without_pii(without_embedded(F.col(text)))["redacted"])
-    decision = F.when(F.col("blocked_by").isNotNull(), "block").when(F.col("sanitized") != F.col(text), "sanitize").otherwise("allow")
+    clean = without_pii(without_embedded(F.col(text)))["redacted"]
+    guarded = texts.withColumn("blocked_by", blocker)
+    guarded = guarded.withColumn("sanitized", F.when(F.col("blocked_by").isNotNull(), F.col(text)).otherwise(clean) if stop else clean)
+    warned = F.lit(False) if context is None else unsupported_length(F.col(text), F.col(context), F.lit("assistant") if role is None else role)
+    guarded = guarded.withColumn("warned", warned)
+    decision = F.when(F.col("blocked_by").isNotNull(), "block").when(F.col("sanitized") != F.col(text), "sanitize").when(F.col("warned"), "review").otherwise("allow")
     return guarded.withColumn("decision", decision)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import keywords, let, long_words, rounded
+from .text import keywords, let, long_words, rounded, trimmed
 
 #: Phrases that show an answer leans on its sources, and phrases that hedge.
 GROUNDING = ("according to", "based on", "the document", "retrieved", "found", "stated", "mentioned")
@@ -62,6 +62,52 @@ def relevance(question: Column, answer: Column) -> Column:
     return let(_share(long_words(question), long_words(answer), lambda w: ~w.isin(STOPWORDS)), of)
 
 
+#: What is said of a high and of a low score, and what is appended to an answer that shares too little with its context.
+FAITHFUL_REASONS = ("Answer appears well-grounded in retrieved context", "Answer contains claims not well-supported by retrieved context")
+RELEVANT_REASONS = ("Answer directly and comprehensively addresses the question", "Answer does not adequately address the question")
+WEAK_NOTE = "Note: some claims may be weakly grounded; review citations."
+
+
+def _reason(score: Column, high_low: tuple[str, str], kind: str, factors: list[tuple[Column, str]]) -> Column:
+    named = F.array_compact(F.array(*[F.when(sign, name) for sign, name in factors]))
+    middle = F.concat(F.lit(f"Answer has moderate {kind}: "), F.array_join(named, ", "))
+    return F.when(score >= 0.8, high_low[0]).when(score >= 0.5, middle).otherwise(high_low[1])
+
+
+def faithfulness_reason(answer: Column, context: Column) -> Column:
+    share = _share(long_words(answer), long_words(context))
+    factors = [(share < 0.4, "low token overlap"), (~_any(answer, GROUNDING), "missing grounding signals"), (_any(answer, HEDGING), "ungrounded claims detected")]
+    return _reason(faithfulness(answer, context), FAITHFUL_REASONS, "grounding", factors)
+
+
+def relevance_reason(question: Column, answer: Column) -> Column:
+    share = _share(long_words(question), long_words(answer), lambda w: ~w.isin(STOPWORDS))
+    ratio = F.length(answer) / F.greatest(F.length(question), F.lit(1))
+    unusual = (ratio < 0.5) | (ratio > 10)
+    factors = [(share < 0.3, "limited keyword overlap"), (unusual, "unusual length"), (answer.rlike(EVASION), "possible evasion")]
+    return _reason(relevance(question, answer), RELEVANT_REASONS, "relevance", factors)
+
+
+def recall_reason(expected: Column, found: Column, k: int) -> Column:
+    """What is said of how many of the expected ids are among the first k."""
+    hits, all_of = F.size(F.array_intersect(expected, F.slice(found, 1, k))), F.size(F.array_distinct(expected))
+    share = recall(expected, found, k)
+    some = F.concat(hits.cast("string"), F.lit("/"), all_of.cast("string"), F.lit(f" expected chunks found in top-{k}"))
+    return (
+        F.when(share == 1, F.concat(F.lit("All "), all_of.cast("string"), F.lit(f" expected chunks found in top-{k}")))
+        .when(share >= 0.5, F.concat(some, F.lit(" (partial recall)"))).when(share == 0, F.lit(f"No expected chunks found in top-{k} (zero recall)")).otherwise(some)
+    )
+
+
+def verified(answer: Column, context: Column) -> Column:
+    """Whether the answer shares two of its different words, or a twelfth of them, with its context."""
+
+    def of(x: Column) -> Column:
+        return F.size(F.array_intersect(x["a"], x["b"])) >= F.greatest(F.lit(2), F.floor(F.size(x["a"]) * 0.08))
+
+    return (F.length(trimmed(context)) > 0) & let(F.struct(F.array_distinct(keywords(answer)).alias("a"), keywords(context).alias("b")), of)
+
+
 def recall(expected: Column, found: Column, k: int) -> Column:
     """Share of the expected ids among the first k; 1 if none is expected."""
     hit = F.size(F.array_intersect(expected, F.slice(found, 1, k))) / F.size(F.array_distinct(expected))

@@ -116,3 +116,36 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     n = norm(a) * norm(b)
     return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
+
+
+def agrees(rows, wanted: dict) -> Column:
+    """Whether a row has all the values wanted; null equals null only, and a column that the rows lack fits nothing."""
+    out = F.lit(True)
+    for name, value in wanted.items():
+        out = out & (F.col(name).eqNullSafe(F.lit(value)) if name in rows.columns else F.lit(False))
+    return out
+
+
+def at_least_zero(x: Column) -> Column:
+    """The number, or 0 if it is null, negative or none at all."""
+    return F.when(x.isNotNull() & ~F.isnan(x) & (x >= 0), x).otherwise(F.lit(0.0))
+
+
+def first_issue(rules) -> Column:
+    """The message of the first (condition, message) whose condition holds; null if none does."""
+    return F.coalesce(*[F.when(condition, message) for condition, message in rules])
+
+
+def preview(text: Column, most: int) -> Column:
+    """The text, or its beginning with three dots if it is longer than ``most``."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+
+
+def contains_all(text: Column, parts: Column) -> Column:
+    """Whether the text has every one of the parts in it, in any case."""
+    return F.forall(parts, lambda p: F.contains(F.lower(text), F.lower(p)))
+
+
+def snake(name: Column) -> Column:
+    """An underscore and the small letter for each capital."""
+    return F.lower(F.regexp_replace(name, "([A-Z])", "_$1"))

@@ -115,6 +115,18 @@ def plan(query: Column, graph: bool = True, raptor: bool = True, hyde: bool = Tr
     )
 
 
+def cost_level(complexity: Column, explicit: Column | None = None) -> Column:
+    """How much a plan costs: by an estimate, if there is one, or by the query's complexity."""
+    given = F.lit(0.0) if explicit is None else F.coalesce(explicit, F.lit(0.0))
+    return F.when((given >= 0.7) | (complexity == "high"), "high").when((given >= 0.3) | (complexity == "medium"), "medium").otherwise("low")
+
+
+def retrieval_query(query: Column, memory: Column | None = None) -> Column:
+    """What is searched for: the query rewritten, or as it is, then its expansions, then what memory adds."""
+    used = F.coalesce(rewrite(query), trimmed(query))
+    return trimmed(F.concat_ws(" ", used, F.array_join(expand(used), " "), F.lit("") if memory is None else memory))
+
+
 def routing_features(query: Column) -> Column:
     """Struct (tokens, reasoning, ambiguous, comparative, procedural, intent, complexity)."""
     low = F.lower(trimmed(query))
@@ -166,3 +178,12 @@ def cache_threshold(query: Column, kind: Column, variance: Column, quality: Colu
         .otherwise(0.9)
     )
     return rounded(F.when(quality < 0.45, F.least(F.lit(0.97), base + 0.03)).otherwise(base), 2)
+
+
+def routing_confidence(features: Column, model: Column, top: Column | None = None, spread: Column | None = None) -> Column:
+    """How sure routing is of its model: more for clear intents, less for a cheap model and a complex query, moved a little by what was retrieved."""
+    kind = features["intent"]
+    boost = F.when(kind == "simple", 0.2).when(kind.isin("reasoning", "comparative"), 0.28).otherwise(0.18)
+    penalty = F.when((model == CHEAP) & (features["complexity"] > 0.5), 0.2).otherwise(0.0)
+    seen = F.lit(0.0) if top is None else F.greatest(F.lit(-0.12), F.least(F.lit(0.12), top * 0.1 + spread * 0.08))
+    return rounded(F.greatest(F.lit(0.4), F.least(F.lit(0.98), F.lit(0.6) + boost - penalty + seen)), 2)

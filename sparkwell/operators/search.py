@@ -9,18 +9,70 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-#: Rows of a block of vectors and of a block of queries; a task holds one of each.
-ROWS, QUERIES = 8192, 1024
+#: Rows of a block of vectors and of a block of queries; a task holds one of each. As many queries are broadcast at most.
+ROWS, QUERIES = 8192, 4096
 
 
-def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 9, measure: str = "cosine") -> DataFrame:
+def _scores(a: np.ndarray, b: np.ndarray, digits: int) -> np.ndarray:
+    """Cosines of all rows of ``a`` with all rows of ``b``, rounded half up; 0 where a length is 0."""
+    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    scores = a @ b.T / np.where(na > 0, na, 1)[:, None] / np.where(nb > 0, nb, 1)[None, :]
+    return np.floor(scores * 10.0**digits + 0.5) / 10.0**digits
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's number, id, score) of each query's k best ids; ties go to the smaller id, and minus infinity is no score."""
+    order = np.argsort(ids, kind="stable")
+    keep = np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]  # ids are in order, so ties are too
+    rows = np.repeat(np.arange(len(scores)), keep.shape[1])
+    at = order[keep.ravel()]
+    found = scores[rows, at]
+    return rows[found > -np.inf], ids[at][found > -np.inf], found[found > -np.inf]
+
+
+def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 9, within: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): each query's k nearest of all vectors; ties go to the smaller id.
 
-    ``queries`` is (query_id, qv), ``vectors`` (id, v), of doubles. Both are dealt to blocks, each pair of blocks is one
-    task's matrix product of bounded size, and only its k best for each query go on to the final ranking.
+    ``queries`` is (query_id, qv), ``vectors`` (id, v), of doubles; with ``within``, a column of both, only vectors that agree with the query there count.
+    Up to QUERIES queries are broadcast: every task streams its vectors past them and keeps the k best of each, so no vector is
+    shuffled. More queries than that are dealt to blocks, as are the vectors, and each pair of blocks is one task's work of bounded size.
     """
-    parts = max(1, -(-vectors.count() // ROWS))
-    blocks = max(1, -(-queries.count() // QUERIES))
+    columns = ["query_id", "qv", *([within] if within else [])]
+    few = queries.select(*columns).limit(QUERIES + 1).toPandas()
+    if len(few) > QUERIES:
+        return _topk_by_blocks(queries, vectors, k, digits, within)
+    id_type, query_type = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    shared = vectors.sparkSession.sparkContext.broadcast(few)
+
+    def best(batches):
+        few = shared.value
+        a = np.array(few["qv"].to_list(), np.float64)
+        number, ids, scores = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+        for pdf in batches:
+            if not len(pdf) or not len(a):
+                continue
+            new = _scores(a, np.array(pdf["v"].to_list(), np.float64), digits)
+            if within:
+                new[few[within].to_numpy()[:, None] != pdf[within].to_numpy()[None, :]] = -np.inf
+            rows, found, values = _best(new, pdf["id"].to_numpy(), k)
+            number, ids, scores = np.concatenate([number, rows]), np.concatenate([ids, found.astype(object)]), np.concatenate([scores, values])
+            order = np.lexsort((np.unique(ids, return_inverse=True)[1], -scores, number))
+            number, ids, scores = number[order], ids[order], scores[order]
+            place = np.arange(len(number)) - np.searchsorted(number, number)
+            number, ids, scores = number[place < k], ids[place < k], scores[place < k]
+        yield pd.DataFrame({"query_id": few["query_id"].to_numpy()[number], "id": ids, "score": scores})
+
+    listed = vectors.select("id", "v", *([within] if within else []))
+    return _ranked(listed.mapInPandas(best, f"query_id {query_type}, id {id_type}, score double"), k)
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _topk_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, digits: int, within: str | None) -> DataFrame:
+    parts, blocks = max(1, -(-vectors.count() // ROWS)), max(1, -(-queries.count() // QUERIES))
     left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     id_type, query_type = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
@@ -28,18 +80,13 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 9, me
     def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        v = v.sort_values("id")
-        a, b = np.array(q["qv"].to_list(), np.float64), np.array(v["v"].to_list(), np.float64)
-        na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        scores = a @ b.T / np.where(na > 0, na, 1)[:, None] / np.where(nb > 0, nb, 1)[None, :]
-        scores = np.floor(scores * 10.0**digits + 0.5) / 10.0**digits
-        keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids are in order, so ties are too
-        rows = np.repeat(np.arange(len(q)), keep.shape[1])
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "id": v["id"].to_numpy()[keep.ravel()], "score": scores[rows, keep.ravel()]})
-
-    near = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(best, f"query_id {query_type}, id {id_type}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        scores = _scores(np.array(q["qv"].to_list(), np.float64), np.array(v["v"].to_list(), np.float64), digits)
+        if within:
+            scores[q[within].to_numpy()[:, None] != v[within].to_numpy()[None, :]] = -np.inf
+        rows, ids, values = _best(scores, v["id"].to_numpy(), k)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "id": ids, "score": values})
+
+    return _ranked(left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(best, f"query_id {query_type}, id {id_type}, score double"), k)
 
 
 def hybrid(candidates: DataFrame, weight: float = 0.65) -> DataFrame:

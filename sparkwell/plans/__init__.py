@@ -1,6 +1,6 @@
 """Named queries over the driver tables, each with the SQL that a second engine runs."""
 
-from . import more, operations, quality, retrieval
+from . import more, operations, quality, reports, retrieval
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "more", "operations", "quality", "retrieval"]
+__all__ = ["ORACLES", "QUERIES", "more", "operations", "quality", "reports", "retrieval"]

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators.embedding import lexical, quantised, signed_hash
+from ..operators.embedding import embedding_map, lexical, quantised, signed_hash
 from ..operators.search import topk
 from .operations import SAMPLES, r, samples
 from .registry import query
-from .retrieval import STEM, VECTOR_SCORES, all_chunks, dense, questions, vectors_of
+from .retrieval import MAP_SQL, STEM, VECTOR_SCORES, all_chunks, dense, guesses, questions, vectors_of
 
 
 @query(f"""WITH c AS (SELECT item_id, unnest(string_split(lower(text), '')) AS c, unnest(generate_series(0, length(lower(text)) - 1)) AS i FROM benchmark),
@@ -127,9 +127,8 @@ def quantisation_experiment(read):
 @query()
 def hyde_delta(read):
     """What a hypothetical answer in place of the question changes in the best score."""
-    guess = questions(read).select("query_id", lexical(F.concat(F.lit("An answer would state: "), "question")).alias("qv"))
     vectors = all_chunks(read).select(F.col("chunk_id").alias("id"), lexical(F.col("text")).alias("v"))
-    after = topk(guess, vectors, 1, digits=6).select("query_id", F.col("score").alias("after"))
+    after = topk(guesses(questions(read)), vectors, 1, digits=6).select("query_id", F.col("score").alias("after"))
     before = dense(read, 1).select("query_id", F.col("score").alias("before"))
     return before.join(after, "query_id").select("query_id", "before", "after", tx.rounded(F.col("after") - F.col("before"), 6).alias("change"))
 
@@ -166,11 +165,19 @@ def routing_signals(read):
     )
 
 
-@query("""SELECT CAST(label AS BIGINT) AS label, count(*) AS n, floor(avg(embedding[1]) * 1e6 + 0.5) / 1e6 AS first, floor(avg(embedding[2]) * 1e6 + 0.5) / 1e6 AS second FROM embeddings GROUP BY 1""")
+@query("""SELECT CAST(label AS BIGINT) AS label, dim, count(*) AS n, floor(avg(x) * 1e6 + 0.5) / 1e6 AS mean FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(generate_series(0, len(embedding) - 1)) AS dim FROM embeddings) GROUP BY 1, 2""")
 def cluster_centroids(read):
+    """The mean of every dimension by label."""
+    e = read("embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
+    return e.groupBy("label", "dim").agg(F.count("*").alias("n"), tx.rounded(F.avg("x"), 6).alias("mean"))
+
+
+@query(f"""{MAP_SQL} SELECT CAST(label AS BIGINT) AS label, count(*) AS n, {r('avg(x)', 2)} AS x, {r('avg(y)', 2)} AS y FROM m JOIN embeddings USING (vec_id) GROUP BY 1""")
+def cluster_map(read):
+    """Where each label's vectors lie on the map of the two widest dimensions, on average."""
     e = read("embeddings")
-    at = lambda i: tx.rounded(F.avg(F.get("embedding", F.lit(i)).cast("double")), 6)
-    return e.groupBy("label").agg(F.count("*").alias("n"), at(0).alias("first"), at(1).alias("second"))
+    at = embedding_map(e).join(e.select("vec_id", "label"), "vec_id")
+    return at.groupBy("label").agg(F.count("*").alias("n"), tx.rounded(F.avg("x"), 2).alias("x"), tx.rounded(F.avg("y"), 2).alias("y"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS back FROM orders)

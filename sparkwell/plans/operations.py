@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.search import topk
 from .registry import query
 
 
@@ -203,12 +204,11 @@ b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, hit)
 SELECT q.vec_id, CASE WHEN b.score >= 0.92 THEN b.hit END AS hit, b.score, CASE WHEN b.hit IS NULL THEN 'no entries' WHEN b.score >= 0.92 THEN 'hit' ELSE 'below threshold' END AS reason
 FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN b USING (vec_id)""")
 def cache_lookup(read):
-    """The most similar entry of the query's own index, if it is similar enough; an equi-join on the index."""
+    """The most similar entry of the query's own index, if it is similar enough."""
     e = read("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    q, c = e.where("vec_id % 50 = 0"), e.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("hit"), "label", F.col("v").alias("w"))
-    scored = q.join(c, "label").select("vec_id", "hit", tx.rounded(tx.cosine(F.col("v"), F.col("w")), 6).alias("score"))
-    best = scored.groupBy("vec_id").agg(F.max(F.struct("score", (-F.col("hit")).alias("minus"))).alias("b"))
-    out = q.select("vec_id").join(best, "vec_id", "left").select("vec_id", F.col("b.score").alias("score"), (-F.col("b.minus")).alias("found"))
+    q = e.where("vec_id % 50 = 0")
+    best = topk(q.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), "label"), e.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), "v", "label"), 1, digits=6, within="label")
+    out = q.select("vec_id").join(best.select(F.col("query_id").alias("vec_id"), "score", F.col("id").alias("found")), "vec_id", "left")
     good = F.col("score") >= 0.92
     reason = F.when(F.col("found").isNull(), "no entries").when(good, "hit").otherwise("below threshold")
     return out.select("vec_id", F.when(good, F.col("found")).alias("hit"), "score", reason.alias("reason"))

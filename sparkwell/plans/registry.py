@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +19,7 @@ def query(sql: str | None = None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
-            df = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            df = f(lambda name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
             # One width of integers, as the second engine counts.
             return df.select([F.col(f"`{c}`").cast("bigint").alias(c) if kind in ("int", "smallint", "tinyint") else F.col(f"`{c}`") for c, kind in df.dtypes])
 

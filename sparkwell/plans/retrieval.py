@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions import understand
+from ..functions.text import trimmed
 from ..operators import graph
 from ..operators.chunking import chunks, sections
 from ..operators.embedding import embedding_map, lexical, quantised, valid, variance, widest_dimensions
@@ -162,11 +164,14 @@ def widest_dims(read):
     return widest_dimensions(read("embeddings")).select("dim", tx.rounded(F.col("variance"), 6).alias("variance"), "rank")
 
 
-@query("""WITH x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(generate_series(0, len(embedding) - 1)) AS dim FROM embeddings),
+MAP_SQL = """WITH x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(generate_series(0, len(embedding) - 1)) AS dim FROM embeddings),
 v AS (SELECT dim, row_number() OVER (ORDER BY floor(var_pop(x) * 1e9 + 0.5) DESC, dim) AS r FROM x GROUP BY 1),
 a AS (SELECT vec_id, max(CASE WHEN r = 1 THEN x END) AS x, max(CASE WHEN r = 2 THEN x END) AS y FROM x JOIN v USING (dim) WHERE r <= 2 GROUP BY 1),
-b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM a)
-SELECT vec_id, CASE WHEN hx > lx THEN floor((8 + (x - lx) / (hx - lx) * 84) * 100 + 0.5) / 100 ELSE 50 END AS x, CASE WHEN hy > ly THEN floor((8 + (y - ly) / (hy - ly) * 84) * 100 + 0.5) / 100 ELSE 50 END AS y FROM a CROSS JOIN b""")
+b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM a),
+m AS (SELECT vec_id, CASE WHEN hx > lx THEN floor((8 + (x - lx) / (hx - lx) * 84) * 100 + 0.5) / 100 ELSE 50 END AS x, CASE WHEN hy > ly THEN floor((8 + (y - ly) / (hy - ly) * 84) * 100 + 0.5) / 100 ELSE 50 END AS y FROM a CROSS JOIN b)"""
+
+
+@query(f"{MAP_SQL} SELECT * FROM m")
 def vector_map(read):
     return embedding_map(read("embeddings"))
 
@@ -214,21 +219,25 @@ g AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY met) AS r FROM
 EDGES = f"""{ENTITIES}, pairs AS (SELECT x.label AS source, y.label AS target, count(*) AS chunks FROM g x JOIN g y ON x.chunk_id = y.chunk_id AND x.label < y.label GROUP BY 1, 2)"""
 
 
-@query(f"WITH {ENTITIES} SELECT label, max(CAST(confidence AS DOUBLE)) AS confidence, count(DISTINCT chunk_id) AS chunks FROM g GROUP BY 1")
+TYPE = """CASE WHEN contains({0}, 'api') THEN 'api' WHEN contains({0}, 'module') THEN 'module' WHEN contains({0}, 'dependency') THEN 'dependency' WHEN contains({0}, 'file') THEN 'file' WHEN contains({0}, 'event') THEN 'event' WHEN contains({0}, 'cache') OR contains({0}, 'retrieval') THEN 'concept' ELSE 'technology' END"""
+RELATION = "CASE WHEN contains(source, 'dependency') OR contains(target, 'dependency') THEN 'depends_on' WHEN contains(source, 'api') OR contains(target, 'api') THEN 'references' ELSE 'co_occurs_with' END"
+
+
+@query(f"WITH {ENTITIES} SELECT label, {TYPE.format('label')} AS type, max(CAST(confidence AS DOUBLE)) AS confidence, count(DISTINCT chunk_id) AS chunks FROM g GROUP BY 1")
 def graph_nodes(read):
-    return graph.nodes(found_entities(read)).select("label", "confidence", "chunks")
+    return graph.nodes(found_entities(read)).select("label", "type", "confidence", "chunks")
 
 
-@query(f"WITH {EDGES} SELECT source, target, chunks, CAST(floor(least(1.0, 0.52 + 0.08 * (chunks - 1)) * 1e6 + 0.5) / 1e6 AS DOUBLE) AS confidence FROM pairs WHERE chunks > 1")
+@query(f"WITH {EDGES} SELECT source, target, {RELATION} AS type, chunks, CAST(floor(least(1.0, 0.52 + 0.08 * (chunks - 1)) * 1e6 + 0.5) / 1e6 AS DOUBLE) AS confidence FROM pairs")
 def graph_edges(read):
-    return graph.edges(found_entities(read)).select("source", "target", "chunks", "confidence")
+    return graph.edges(found_entities(read)).select("source", "target", "type", "chunks", "confidence")
 
 
 STEPS = f"""{EDGES}, lw AS (SELECT DISTINCT label, unnest(string_split(label, ' ')) AS word FROM g), ln AS (SELECT label, count(*) AS nl FROM lw GROUP BY 1),
 qw AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format('text')}) AS word FROM benchmark), qn AS (SELECT query_id, count(*) AS nq FROM qw GROUP BY 1),
 es AS (SELECT query_id, label, floor(count(*) / sqrt(max(nq) * max(nl)) * 1e6 + 0.5) / 1e6 AS score FROM qw JOIN lw USING (word) JOIN qn USING (query_id) JOIN ln USING (label) GROUP BY 1, 2),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS hit_rank FROM es QUALIFY hit_rank <= 5),
-links AS (SELECT source AS a, target AS b, floor(least(1.0, 0.52 + 0.08 * (chunks - 1))::DOUBLE * 1e6 + 0.5) / 1e6 AS confidence FROM pairs WHERE chunks > 1), ways AS (SELECT a, b, confidence FROM links UNION ALL SELECT b, a, confidence FROM links),
+links AS (SELECT source AS a, target AS b, floor(least(1.0, 0.52 + 0.08 * (chunks - 1))::DOUBLE * 1e6 + 0.5) / 1e6 AS confidence FROM pairs), ways AS (SELECT a, b, confidence FROM links UNION ALL SELECT b, a, confidence FROM links),
 one AS (SELECT query_id, a AS source, b AS target, CAST(1 AS BIGINT) AS depth, confidence FROM hits JOIN ways ON a = label),
 front AS (SELECT DISTINCT query_id, target FROM one WHERE (query_id, target) NOT IN (SELECT (query_id, label) FROM hits)),
 steps AS (SELECT * FROM one UNION ALL SELECT query_id, a, b, 2, confidence FROM front JOIN ways ON a = target)"""
@@ -241,23 +250,23 @@ def graph_bfs_steps(read):
     return graph.steps(hits, graph.edges(found))
 
 
-@query(f"""WITH {STEPS}, near AS (SELECT query_id, target AS label, min(depth) AS depth, max(confidence) AS confidence FROM steps GROUP BY 1, 2),
-parts2 AS (SELECT query_id, chunk_id, 0.8::DOUBLE * score AS part, 0 AS depth FROM hits JOIN g USING (label) UNION ALL SELECT query_id, chunk_id, n.confidence / (depth + 1), depth FROM near n JOIN g USING (label)),
-total AS (SELECT query_id, chunk_id, floor(sum(part) * 1e6 + 0.5) / 1e6 AS score, CAST(min(depth) AS BIGINT) AS depth FROM parts2 GROUP BY 1, 2)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM total QUALIFY rank <= 5""")
-def graph_retrieve(read):
-    """Chunks of the entities that a question hits or that edges reach from there."""
+def graph_signals(read, k: int, of=None):
+    """``graph.chunk_scores`` of the benchmark's questions, or of those in ``of``."""
     found = found_entities(read)
-    hits = graph.entity_hits(questions(read), graph.nodes(found))
-    steps = graph.steps(hits, graph.edges(found))
-    direct = hits.join(found, "label").select("query_id", "chunk_id", (0.8 * F.col("score")).alias("part"), F.lit(0).alias("depth"))
-    near = steps.groupBy("query_id", F.col("target").alias("label")).agg(F.min("depth").alias("depth"), F.max("confidence").alias("confidence"))
-    reached = near.join(found.select("label", "chunk_id"), "label").select("query_id", "chunk_id", (F.col("confidence") / (F.col("depth") + 1)).alias("part"), "depth")
-    scored = direct.unionByName(reached).groupBy("query_id", "chunk_id").agg(tx.rounded(F.sum("part"), 6).alias("score"), F.min("depth").alias("depth"))
-    from pyspark.sql import Window
+    hits = graph.entity_hits(questions(read) if of is None else of, graph.nodes(found))
+    return graph.chunk_scores(hits, graph.steps(hits, graph.edges(found)), found, k)
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+
+GRAPH = f"""{STEPS}, near AS (SELECT query_id, target AS label, sum(floor(1.0::DOUBLE / (depth + 1) * 1e6 + 0.5) / 1e6 * confidence) AS part, min(depth) AS depth, max(confidence) AS edge, max(floor(1.0::DOUBLE / (depth + 1) * 1e6 + 0.5) / 1e6) AS proximity FROM steps GROUP BY 1, 2),
+parts2 AS (SELECT query_id, chunk_id, label, 0.8::DOUBLE * score AS part, 0 AS depth, 0.0::DOUBLE AS edge, 1.0::DOUBLE AS proximity FROM hits JOIN g USING (label) UNION ALL SELECT query_id, chunk_id, label, part, depth, edge, proximity FROM near n JOIN g USING (label)),
+total AS (SELECT query_id, chunk_id, floor(sum(part) * 1e6 + 0.5) / 1e6 AS score, CAST(min(depth) AS BIGINT) AS depth, max(edge) AS edge, max(proximity) AS proximity, array_to_string(list_sort(list(DISTINCT label)), '|') AS labels FROM parts2 GROUP BY 1, 2),
+gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM total)"""
+
+
+@query(f"WITH {GRAPH} SELECT * FROM gr WHERE rank <= 5")
+def graph_retrieve(read):
+    """Chunks of the entities that a question hits or that edges reach from there, with what reached them."""
+    return graph_signals(read, 5).withColumn("labels", F.array_join("labels", "|"))
 
 
 FLAT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
@@ -286,14 +295,27 @@ def fusion_dense_only(read):
     return fuse([dense(read, 5).select("query_id", "id", F.col("score").alias("semantic"))]).select("query_id", "id", "final", "rank")
 
 
+#: The wording of a hypothetical answer.
+GUESS = ("Hypothetical grounded answer for retrieval: ", ". Prefer concrete implementation details, dependencies, and retrieval evidence.")
+
+
+def guesses(asked):
+    """(query_id, qv): vectors of hypothetical answers to questions (query_id, question)."""
+    return asked.select("query_id", lexical(F.concat(F.lit(GUESS[0]), trimmed("question"), F.lit(GUESS[1]))).alias("qv"))
+
+
 @query()
 def fusion_topk(read):
-    """Hybrid, hypothetical-answer and section-tree signals fused."""
-    first = hybrid(candidates(read, 20)).select("query_id", "id", F.col("combined").alias("semantic"))
-    guess = questions(read).select("query_id", lexical(F.concat(F.lit("An answer would state: "), "question")).alias("qv"))
-    vectors = all_chunks(read).select(F.col("chunk_id").alias("id"), lexical(F.col("text")).alias("v"))
-    hyde = topk(guess, vectors, 20, digits=6).select("query_id", "id", F.col("score").alias("hyde"))
-    tree = graph.section_tree(all_chunks(read))
+    """Six signals fused, as each question's plan allows: hypothetical answers for two modes, the graph for two, the section tree for one."""
+    asked = questions(read).withColumn("mode", understand.plan(F.col("question"))["execution_mode"])
+    of = lambda *modes: asked.where(F.col("mode").isin(*modes))
+    chunked = all_chunks(read)
+    first = hybrid(candidates(read, 12)).where("hybrid_rank <= 3").select("query_id", "id", F.col("combined").alias("semantic"))
+    vectors = chunked.select(F.col("chunk_id").alias("id"), lexical(F.col("text")).alias("v"))
+    hyde = topk(guesses(of("HYDE_RAG", "FULL_PIPELINE")), vectors, 12, digits=6).select("query_id", "id", F.col("score").alias("hyde"))
+    walked = graph_signals(read, 12, of("GRAPH_RAG", "FULL_PIPELINE"))
+    walked = walked.select("query_id", F.col("chunk_id").alias("id"), "proximity", "edge", (1 / (F.col("depth") + 1)).alias("depth"))
+    tree = graph.section_tree(chunked)
     below = tree.where("level = 2").select(F.col("node_id").alias("id"), F.col("parent_id").alias("node_id"))
-    raptor = graph.section_search(questions(read), tree).join(below, "node_id").select("query_id", "id", F.col("score").alias("raptor"))
-    return fuse([first, hyde, raptor]).select("query_id", "id", "final", "rank")
+    raptor = graph.section_search(of("FULL_PIPELINE"), tree, 3).join(below, "node_id").select("query_id", "id", F.col("score").alias("raptor"))
+    return fuse([first, hyde, walked, raptor], 3).select("query_id", "id", "final", "rank")
