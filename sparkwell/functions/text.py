@@ -149,3 +149,9 @@ def contains_all(text: Column, parts: Column) -> Column:
 def snake(name: Column) -> Column:
     """An underscore and the small letter for each capital."""
     return F.lower(F.regexp_replace(name, "([A-Z])", "_$1"))
+
+
+def label_set(**labels: Column) -> Column:
+    """Names and values of labels in braces, with backslashes before backslashes, quotes and line ends in values."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'{k}="'), escaped(v), F.lit('"')) for k, v in labels.items()]), F.lit("}"))

@@ -214,13 +214,32 @@ def cache_lookup(read):
     return out.select("vec_id", F.when(good, F.col("found")).alias("hit"), "score", reason.alias("reason"))
 
 
-@query("""SELECT 'jobs_total' AS name, event_type AS queue, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 2
-UNION ALL SELECT 'jobs_failed', event_type, CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) FROM events GROUP BY 2
-UNION ALL SELECT 'duration_max', event_type, max(value) FROM events GROUP BY 2""")
+SERIES = {
+    "queue_jobs_succeeded_total": "counter", "queue_jobs_failed_total": "counter", "queue_jobs_retrying_total": "counter", "queue_jobs_dlq_total": "counter",
+    "queue_attempts_total": "counter", "queue_duration_ms_average": "gauge", "queue_duration_ms_p95": "gauge",
+}
+
+
+@query(f"""WITH {SAMPLES}, g AS (SELECT event_type AS queue, count(*) FILTER (WHERE NOT failed)::DOUBLE AS queue_jobs_succeeded_total, count(*) FILTER (WHERE failed)::DOUBLE AS queue_jobs_failed_total, count(*) FILTER (WHERE k BETWEEN 3 AND 4)::DOUBLE AS queue_jobs_retrying_total,
+  count(*) FILTER (WHERE k >= 5)::DOUBLE AS queue_jobs_dlq_total, sum(k)::DOUBLE AS queue_attempts_total, {r('avg(value)', 2)} AS queue_duration_ms_average, {r('quantile_cont(value, 0.95)', 2)} AS queue_duration_ms_p95 FROM s GROUP BY 1),
+u AS (UNPIVOT g ON {', '.join(SERIES)} INTO NAME name VALUE value)
+SELECT name, CASE WHEN name LIKE '%_total' THEN 'counter' ELSE 'gauge' END AS type, '{{queue="' || replace(queue, '"', '\\"') || '",job_type="' || replace(queue, '"', '\\"') || '"}}' AS labels, value FROM u""")
 def metric_exposition(read):
     """One row for each series, as a scraper wants them."""
-    g = samples(read).groupBy(F.col("event_type").alias("queue")).agg(F.count("*").cast("double").alias("jobs_total"), F.count_if("failed").cast("double").alias("jobs_failed"), F.max("value").alias("duration_max"))
-    return g.unpivot(["queue"], ["jobs_total", "jobs_failed", "duration_max"], "name", "value")
+    k = F.col("k")
+    g = samples(read).groupBy(F.col("event_type").alias("queue")).agg(
+        F.count_if(~F.col("failed")).cast("double").alias("queue_jobs_succeeded_total"), F.count_if("failed").cast("double").alias("queue_jobs_failed_total"),
+        F.count_if(k.between(3, 4)).cast("double").alias("queue_jobs_retrying_total"), F.count_if(k >= 5).cast("double").alias("queue_jobs_dlq_total"), F.sum("k").cast("double").alias("queue_attempts_total"),
+        tx.rounded(F.avg("value"), 2).alias("queue_duration_ms_average"), tx.rounded(F.expr("percentile(value, 0.95)"), 2).alias("queue_duration_ms_p95"),
+    )
+    kind = F.when(F.col("name").endswith("_total"), "counter").otherwise("gauge")
+    return g.unpivot(["queue"], list(SERIES), "name", "value").select("name", kind.alias("type"), tx.label_set(queue=F.col("queue"), job_type=F.col("queue")).alias("labels"), "value")
+
+
+def exposition_text(series) -> list[str]:
+    """The lines of a text exposition of ``metric_exposition``'s rows: a few for each queue."""
+    lines = [f"# TYPE {name} {kind}" for name, kind in SERIES.items()]
+    return [*lines, *(f"{s.name}{s.labels} {s.value:g}" for s in sorted(series.collect(), key=lambda s: (s.labels, list(SERIES).index(s.name)))), "# EOF"]
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100")

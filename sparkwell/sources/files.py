@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
@@ -38,6 +38,24 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(pages, "path string, page int, text string")
 
 
+def inline_texts(spark: SparkSession, contents: list[tuple[str, str]]) -> DataFrame:
+    """(path, text, sha256) of texts given with their names, as ``read_texts`` gives those of files."""
+    rows = spark.createDataFrame(contents, "path string, text string")
+    return rows.withColumn("sha256", F.sha2(F.encode("text", "UTF-8"), 256))
+
+
+def page_sections(pages: DataFrame) -> DataFrame:
+    """(path, section_id, page, text, start_offset, end_offset) of pages (path, page, text): offsets in the pages' texts joined by a blank line.
+
+    Pages are trimmed, blank ones dropped. Offsets are sums over a document's pages before.
+    """
+    kept = pages.select("path", "page", trimmed("text").alias("text")).where(F.length("text") > 0)
+    before = Window.partitionBy("path").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0))
+    placed = kept.withColumn("start_offset", start)
+    return placed.select("path", F.concat(F.lit("page-"), F.col("page").cast("string")).alias("section_id"), "page", "text", "start_offset", (F.col("start_offset") + F.length("text")).alias("end_offset"))
+
+
 def unsupported(kind: str) -> Callable[..., DataFrame]:
     def refuse(*_: object) -> DataFrame:
         raise NotImplementedError(f"{kind} extraction is not implemented")
@@ -109,3 +127,34 @@ def upsert(stored: DataFrame, new: DataFrame, key: str = "id", version: str = "u
 
 def blank_free(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.where(F.length(trimmed(text)) > 0)
+
+
+#: An execution snapshot: what was asked, what was found, and how, so that it can be run again.
+SNAPSHOT = (
+    "id string, createdAt string, query string, documentId string, params map<string,string>, provider string,"
+    " chunks array<struct<chunkId:string,rank:int,score:double,textHash:string,preview:string>>, answer string"
+)
+
+
+def complete(snapshots: DataFrame) -> Column:
+    """Whether a snapshot has all that a replay needs."""
+    chunk = lambda c: c["chunkId"].isNotNull() & c["score"].isNotNull() & (F.length(c["textHash"]) == 64)
+    named = F.col("id").isNotNull() & (F.length("query") > 0) & F.col("documentId").isNotNull() & F.col("answer").isNotNull()
+    return F.coalesce(named & (F.size("chunks") > 0) & F.forall("chunks", chunk), F.lit(False))
+
+
+def save_snapshots(snapshots: DataFrame, path: str) -> None:
+    """Appends snapshots as JSON lines; incomplete ones are an error."""
+    bad = F.raise_error(F.concat(F.lit("incomplete snapshot "), F.coalesce("id", F.lit("without id"))))
+    snapshots.select(F.when(complete(snapshots), F.struct(*snapshots.columns)).otherwise(bad.cast(snapshots.select(F.struct(*snapshots.columns)).dtypes[0][1])).alias("s")).select("s.*").write.mode("append").json(path)
+
+
+def load_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Complete snapshots of JSON lines."""
+    rows = spark.read.schema(SNAPSHOT).option("mode", "DROPMALFORMED").json(path)
+    return rows.where(complete(rows))
+
+
+def list_index(spark: SparkSession, path: str, tenant: str, owner: str) -> DataFrame:
+    """(doc_id, chunks) of what a tenant's user has in an index."""
+    return load_index(spark, path, tenant, owner).groupBy("doc_id").agg(F.count("*").alias("chunks"))

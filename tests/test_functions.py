@@ -11,7 +11,7 @@ def one(spark, *columns, **values):
 
 def test_words_and_stems(spark):
     got = one(spark, tx.words("t"), tx.stems("t"), tx.long_words("t"), tx.keywords("t", 4), t="The 3 Queries' boxes, buses as-is; ÉTÉ gas")
-    assert got[0] == ["the", "3", "queries", "boxes", "buses", "as", "is", "t", "gas"] or got[0] == ["the", "3", "queries", "boxes", "buses", "as", "is", "gas"] or "queries" in got[0]
+    assert got[0] == ["the", "3", "queries", "boxes", "buses", "as", "is", "t", "gas"]
     assert {"query", "box", "bus", "as"} <= set(got[1]) and "ga" not in got[1][:2]
     assert all(len(w) > 2 for w in got[2]) and all(len(w) >= 4 for w in got[3])
 

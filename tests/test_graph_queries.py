@@ -1,7 +1,7 @@
 from collections import Counter, defaultdict
 
 from sparkwell.operators import graph
-from sparkwell.plans import retrieval
+from sparkwell.plans import quality, retrieval
 from sparkwell.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,17 +34,13 @@ def test_every_edge_against_brute_force(spark, tmp_path):
     got = rows("graph_bfs_steps")
     assert first and {(r.query_id, r.source, r.target, r.depth, r.confidence) for r in got} == steps and len(got) == len(steps)
 
-    near = {}
-    for q, _, b, d, c in steps:
-        depth, most = near.get((q, b), (d, c))
-        near[q, b] = min(d, depth), max(c, most)
     score = Counter()
     for h in hits:
         for k in chunks[h.label]:
             score[h.query_id, k] += 0.8 * h.score
-    for (q, b), (d, c) in near.items():
+    for q, _, b, d, c in steps:  # every step counts, not only the best one to an entity
         for k in chunks[b]:
-            score[q, k] += c / (d + 1)
+            score[q, k] += round(1 / (d + 1), 6) * c
     ranked = defaultdict(list)
     for (q, _), s in score.items():
         ranked[q].append(s)
@@ -52,3 +48,18 @@ def test_every_edge_against_brute_force(spark, tmp_path):
     want = {(q, k + 1): s for q, of in ranked.items() for k, s in enumerate(sorted(of, reverse=True)[:5])}
     assert got.keys() == want.keys() and all(abs(got[k].score - s) < 2e-6 for k, s in want.items())
     assert all(abs(r.score - score[r.query_id, r.chunk_id]) < 2e-6 for r in got.values())
+    reached = defaultdict(set)
+    for h in hits:
+        reached[h.query_id].add(h.label)
+    for q, _, b, _, _ in steps:
+        reached[q].add(b)
+    assert all(r.labels == "|".join(sorted(labels[r.chunk_id] & reached[r.query_id])) for r in got.values())
+
+
+def test_expected_documents_hold_the_whole_item(spark, tmp_path):
+    items = [(1, "One two three, four five six seven eight nine ten"), (2, "three FOUR five"), (3, "..."), (4, None)]
+    docs = [(1, "x one two three four five six seven eight nine ten y"), (2, "one two three four five six seven eight nine then ten"), (3, "three four"), (4, "three, four\nfive"), (5, None)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = quality.expected(lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")).collect()
+    assert {(r.query_id, r.doc_id) for r in found} == {(1, 1), (2, 1), (2, 2), (2, 4)} and len(found) == 4
