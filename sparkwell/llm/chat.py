@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import table
+
 #: Fixed values of the template.
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 #: What may follow a bracket in a control string: the template's own and other common ones, all of which are escaped in texts.
@@ -91,7 +93,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``digests`` of all ``conversations``, and of one more whose texts hold control strings."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     own = spark.sql("SELECT CAST(id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM VALUES (-1, 0, 'user', :t), (-1, 1, 'assistant', :t) AS v(id, turn, role, text)", {"t": tricky})
     return digests(format_conversations(turns.unionByName(own)))

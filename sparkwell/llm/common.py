@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
@@ -36,6 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
 _leaving: set[str] = set()
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; a small one in few files is dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: no lineage, compressed.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, table
 
 #: Words of a window, and the share of an item's windows that a document must have.
 WINDOW, COVERED = 5, 0.8
@@ -226,5 +226,4 @@ def matches(
 
 def op8_template_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``matches`` of all ``documents`` with all items of ``benchmark``."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return matches(read("documents"), read("benchmark"))
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

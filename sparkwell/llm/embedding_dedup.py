@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import connected_components, cut, label_pairs
+from .common import connected_components, cut, label_pairs, table
 
 THRESHOLD = 0.95
 #: Standard errors that an estimate may be off before a pair goes unexamined; the chance of that is below 1e-8.
@@ -171,7 +171,7 @@ def near_vectors(
 
 def op6_rotated_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``near_vectors`` of all rows of ``embeddings`` at a cosine of 0.95."""
-    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 ORACLE = """

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import table
 from .tokens import texts_of
 
 #: Hashed n-gram kinds; a model has so many numbers for each language.
@@ -216,7 +217,7 @@ def labelled_rows(docs: DataFrame, *, most: int = TRAINING_ROWS) -> DataFrame:
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``predict`` for the whole texts of ``documents``, learned outside the held-out fold."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = held_out()
     model = train(labelled_rows(docs))
     return predict(docs.select("doc_id", "text", out.alias("held_out")), model).drop("text")

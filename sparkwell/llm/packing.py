@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import written
+from .common import table, written
 from .tokens import default_vocabulary, encoder, texts_of
 
 SEQUENCE = 2048
@@ -253,4 +253,4 @@ def _pieces(batch: pa.RecordBatch, digest: bool) -> pa.RecordBatch:
 
 def op4_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` packed into sequences of 2048 ids, with a digest in place of each piece's ids."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
+    return pack(table(spark, sf_dir, "documents"), digest=True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import connected_components, cut, label_pairs, written
+from .common import connected_components, cut, label_pairs, table, written
 from .tokens import texts_of
 
 #: Words in a shingle, differing bits that still link, and the seed of the hash.
@@ -214,5 +214,5 @@ def representatives(rows: DataFrame, *, row: str, doc_id: str = "doc_id", text:
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``components`` of all ``documents``, fingerprints as 16 lower-case hex digits."""
-    found = components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import cut
+from .common import cut, table
 from .tokens import default_vocabulary, encoder, texts_of
 
 
@@ -86,7 +86,7 @@ def truncated_total(report: DataFrame, limit: int) -> DataFrame:
 
 def op3_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``length_report`` of all ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return length_report(cut(encoded_lengths(docs)))  # the report reads the lengths twice
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import written
+from .common import table, written
 from .simple8b import decode, encode
 from .tokens import default_vocabulary, encoder, texts_of
 
@@ -112,5 +112,5 @@ def read_documents(containers: DataFrame) -> DataFrame:
 
 def op2_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` encoded, written as containers, and read back from them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return read_documents(written(encode_documents(docs), "token-ids"))

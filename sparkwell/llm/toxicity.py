@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import cut
+from .common import cut, table
 from .tokens import texts_of
 
 THRESHOLD = 0.7
@@ -325,6 +325,6 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, *, most: int = TRAINING_RO
 
 def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``score`` of the whole texts of ``documents``, learned from labels outside the held-out fold."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = train(labelled_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(labelled_rows(docs, table(spark, sf_dir, "labels")))
     return score(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")

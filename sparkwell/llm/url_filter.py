@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, table
 
 #: (rule, verdict); a rule is a host and a path.
 RULES = (
@@ -122,4 +122,4 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
 
 def op7_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``judge`` of all ``pages``."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(table(spark, sf_dir, "pages"))

@@ -39,6 +39,13 @@ def test_round_trip(spark):
     assert "</s>" not in raw[0].formatted and "[INST]" not in raw[0].formatted
 
 
+def test_long_conversations(spark):
+    turns = [(1, i, ("user", "assistant")[i % 2], f"turn {i} " + "word " * 20) for i in range(4000)] + [(2, 0, "assistant", "long " * 200_000)]
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))).collect()}
+    learned = "".join(x for c, _, r, x in turns if c == 1 and r == "assistant")
+    assert got[1].n_turns == 4000 and got[1].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest() and got[2].loss_chars == 1_000_000
+
+
 def test_empty(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 

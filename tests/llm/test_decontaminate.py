@@ -49,6 +49,109 @@ def test_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_short_items_and_items_of_slots(spark):
+    items = [(1, "What is 3+4?"), (2, "John bought 12 pens"), (3, "7 8 9 10 11 12 13"), (4, "sum"), (5, "..."), (6, "Anna 5 Tom 6 Eva 7 Max 8")]
+    docs = [
+        (1, "Tell me: what is 3 + 4? Now."), (2, "Tell me: what is 3 + 5?"), (3, "So john bought 12 pens."), (4, "John bought 13 pens"), (5, "6 7 8 9 10 11 12 13 14"), (6, "7 8 9 10 11 12"), (7, "the sum of it"),
+        (8, ""), (9, None), (10, "anna 5 tom 6 eva 7 max 8"), (11, "Anna 5 Tom 6 Eva 9 Max 8"),
+    ]
+    got = dc.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 2), (5, 3), (7, 4), (10, 6), (11, 6)}
+
+
+def test_ids_that_repeat_or_are_missing(spark):
+    item = "words enough for a window of the template here"
+    docs = spark.createDataFrame([(None, f"x {item}"), (1, "something else entirely"), (1, f"{item} y"), (1, f"{item} y"), (2, "z")], "doc_id bigint, text string")
+    got = dc.matches(docs, spark.createDataFrame([(None, item), (5, item), (5, "another item with words that nobody has"), (5, item)], "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(None, None), (None, 5), (1, None), (1, 5)} and len(got) == 4 and all(r.coverage == 1 for r in got)
+
+
+NAMES = ["Anna", "Bob", "Maria", "Peter", "Zoe", "Ivan"]
+
+
+def problem(r, names, numbers):
+    """A word problem of fixed words in an order of its own, with its names and numbers put in."""
+    a, b = names
+    x, y, z = numbers
+    return [
+        f"{a} has {x} marbles and {b} has {y} marbles. After school {a} gives {b} {z} marbles near the old fountain. How many marbles does {a} have then?",
+        f"The train that {a} takes needs {x} hours for the journey while the bus of {b} needs {y} hours. They meet {z} days later, and {b} asks {a} which ride was shorter.",
+        f"{a} bakes {x} cakes on Monday. On Tuesday the baker {b} buys {y} of them and eats {z} before noon; what remains for the guests of {a} in the evening?",
+    ][r]
+
+
+def test_recall_of_items_filled_otherwise(spark):
+    """At least nine in ten copies with other names and numbers are found, and none whose slots are filled in two ways."""
+    import random
+
+    r = random.Random(4)
+    items = [(i, problem(i, r.sample(NAMES[:3], 2), r.sample(range(2, 90), 3))) for i in range(3)]
+    filler = "Some words before it that mean little to anybody at all. "
+    docs, mixed = [], []
+    for k in range(120):
+        names, numbers = r.sample(NAMES[3:], 2), r.sample(range(100, 999), 3)
+        docs.append((k, filler + problem(k % 3, names, numbers) + " And some after it.", k % 3))
+        first = problem(k % 3, names, numbers)
+        mixed.append((1000 + k, filler + first.replace(names[0], "Quentin", 1).replace(names[1], names[0]), k % 3))
+    rows = spark.createDataFrame([d[:2] for d in docs + mixed], "doc_id bigint, text string")
+    got = {(x.doc_id, x.item_id): x for x in dc.matches(rows, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    found = [d for d in docs if (d[0], d[2]) in got]
+    assert len(found) >= 0.9 * len(docs) and all(got[d[0], d[2]].refilled > 0 for d in found)
+    assert not [k for k in got if k[0] < 1000 and k[1] != k[0] % 3] and not [k for k in got if k[0] >= 1000]
+
+
+def brute(doc, item):
+    """Windows with slots for numbers and whole names, alignment by alignment, as the operator's docstring says it; for texts of plain words."""
+    words = lambda t: ["\x01n" + w if w.isdigit() else "\x01p" + w.lower() if w[0].isupper() else w for w in t.split()]
+    kind = lambda w: w[:2] if w[0] == "\x01" else w
+    d, i = words(doc), words(item)
+
+    def shares(d, i):
+        five = lambda w: {k: tuple(map(kind, w[k : k + 5])) for k in range(len(w) - 4) if sum(x[0] == "\x01" for x in w[k : k + 5]) <= 2}
+        mine, theirs, ok = five(i), five(d), set()
+        for shift in range(-len(i), len(d)):
+            at = [k for k in mine if theirs.get(k + shift) == mine[k]]
+            filled = {(i[k + j], d[k + shift + j]) for k in at for j in range(5) if i[k + j][0] == "\x01"}
+            if len(filled) == len({a for a, _ in filled}):
+                ok |= {mine[k] for k in at}
+        return len(ok) / len(set(mine.values())) if mine else 0
+
+    plain = lambda t: [w[2:] if w[:2] == "\x01p" else w for w in t]
+    return max(shares(d, i), shares(plain(d), plain(i))) >= dc.COVERED
+
+
+def test_slots_against_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu") for b in ("ra", "sen", "vik")]
+
+    def text(n):
+        return " ".join(r.choice(["Ann", "Tom", "Eva"]) if k % 9 == 4 else str(r.randrange(2, 50)) if k % 9 == 8 else r.choice(vocabulary) for k in range(n))
+
+    items = [(i, text(r.randrange(14, 40))) for i in range(12)]
+    docs = []
+    for k in range(150):
+        words = items[k % 12][1].split()
+        swap = {w: (str(r.randrange(60, 99)) if w.isdigit() else r.choice(["Ben", "Kim", "Ada"])) for w in set(words) if w.isdigit() or w[0].isupper()}
+        for j, w in enumerate(words):
+            if w in swap and r.random() < (1 if k % 2 else 0.8):
+                words[j] = swap[w]
+            elif r.random() < 0.02 * (k % 5):
+                words[j] = r.choice(vocabulary)
+        docs.append((k, " ".join(["start", *words, "end"])))
+    want = {(d, i) for d, t in docs for i, x in items if brute(t, x)}
+    got = dc.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and 30 < len(want) < 150
+
+
+def test_a_very_long_text_and_many_copies(spark):
+    item = "each of these words stands in the item and in no other text but one"
+    long = "lorem ipsum dolor sit amet " * 20_000 + item
+    docs = spark.createDataFrame([(1, long), *((k, f"a {item}") for k in range(2, 300))], "doc_id bigint, text string")
+    assert dc.matches(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).count() == 299
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
     assert dc.matches(docs, items).count() == 0

@@ -54,6 +54,29 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs(off.mean()) < 0.01
 
 
+def test_widths_and_sizes_against_brute_force(spark):
+    """Two widths of which one is rare, components near 1e200 and 1e-200, and a dense cluster of unequal vectors over several tiles."""
+    r = np.random.default_rng(7)
+    centre = r.standard_normal(16)
+    rows = [(centre + 0.05 * r.standard_normal(16)).tolist() for _ in range(60)]
+    rows += [(centre * 10.0**e + 10.0**e * 0.05 * r.standard_normal(16)).tolist() for e in (200, -200, 300, -300)]
+    rows += [x.tolist() for x in r.standard_normal((20, 8))] + [[1.0, 2.0, 3.0], [2.0, 4.0, 6.0], [-1.0, -2.0, -3.0], [5.0], [1e-320], [-3.0], [1e300, 1e300], [1e-300, 1e-300]]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>")
+    links, label = brute([list(np.array(v) / np.abs(v).max()) for v in rows], 0.95)
+    for tile in (16, None):
+        got = {x.vec_id: x for x in ed.near_vectors(df, tile=tile).collect()}
+        assert [got[i].n_links for i in range(len(rows))] == links and [got[i].component_id for i in range(len(rows))] == label
+    assert links[0] == 63 and links[-8:] == [1, 1, 0, 1, 1, 0, 1, 1]
+
+
+def test_query_on_a_fixture(spark, tmp_path):
+    rows = vectors()
+    spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    links, label = brute(rows, 0.95)
+    got = {x.vec_id: x for x in ed.op6_rotated_code_links(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(rows))] == list(zip(links, label, strict=True))
+
+
 def test_none(spark):
     for rows in ([], [(1, None)]):
         df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")

@@ -44,6 +44,32 @@ def test_expectation_maximisation_against_a_grid():
     assert likelihood <= max(grid) + 0.5 and likelihood > max(grid) - 0.5
 
 
+def test_choice_of_languages_against_all_sets():
+    """The greedy choice is the best of all sets by penalised likelihood, for one to all of five languages."""
+    from itertools import combinations
+
+    r = np.random.default_rng(5)
+    logs = np.log(r.dirichlet(np.full(80, 0.3), 5) * 0.98 + 0.02 / 80).T
+    for k in range(1, 6):
+        members = r.choice(5, k, replace=False)
+        share = r.dirichlet(np.full(k, 8.0))
+        found = r.choice(80, 4000, p=np.exp(logs[:, members]) @ share / (np.exp(logs[:, members]) @ share).sum())
+        got, likelihood = li.identify(found, logs)
+        kinds, counts = np.unique(found, return_counts=True)
+        penalty = 0.5 * np.log(counts.sum()) + np.log(5)
+        worth = {s: li.proportions(counts.astype(float), logs[kinds], s)[1] - penalty * (len(s) - 1) for n in range(1, 6) for s in combinations(range(5), n)}
+        best = max(worth, key=worth.get)
+        assert tuple(np.flatnonzero(got)) == best == tuple(sorted(members)) and abs(likelihood - penalty * (k - 1) - worth[best]) < 1
+        assert np.abs(got[members] - share).max() < 0.05
+
+
+def test_draw_is_bounded_for_repeated_and_missing_ids(spark):
+    rows = [(None if i % 2 else 0, f"text {i}", "xa") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert li.labelled_rows(docs).count() == 4000
+    assert 300 < li.labelled_rows(docs, most=500).count() < 700
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, "xa")], "doc_id bigint, text string, lang string")
     model = li.train(docs)

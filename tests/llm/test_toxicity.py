@@ -50,6 +50,48 @@ def test_automaton_against_a_scan():
         assert (round(got[0], 9), got[1], got[2]) == (round(want, 9), hits, len(words))
 
 
+def test_disguises():
+    plain = ["idiot"] * 6
+    assert tx.folded("\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d ⓘⓓⓘⓞⓣ ïdîöt i.d.i.o.t ｉｄｉｏｔ 1d10t") == plain
+    assert tx.folded("I-D-I-O-T, іdіоt \U0001f178\U0001f173\U0001f178\U0001f17e\U0001f183 ɪᴅɪᴏᴛ idi\u200bot i\u0301d\u0301iot") == plain
+    assert tx.folded("e.g. a b c 2024 x-ray für") == ["e", "g", "a", "b", "c", "2024", "x", "ray", "fur"]
+
+
+def test_exceptions_are_learned(spark):
+    """A listed word that is harmless beside one other word, though toxic elsewhere."""
+    r = random.Random(3)
+    words = [f"{a}{b}" for a in ("lorem", "ipsum", "dolor", "amet") for b in "abcdefghijklmnop"]
+    rows = []
+    for i in range(900):
+        text = [r.choice(words) for _ in range(40)]
+        if i % 5 == 0:
+            text[10:10], text[20:20] = ["scoundrel"], ["knave"]
+        elif i % 9 == 1:
+            text[15:15] = ["scoundrel", "biscuit"]
+        rows.append((" ".join(text), int(i % 5 == 0)))
+    model = tx.train(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "scoundrel biscuit" in model.exceptions and "scoundrel" in model.lexicon and set(tx.EXCEPTIONS) < set(model.exceptions)
+    assert not [e for e in model.exceptions if e not in tx.EXCEPTIONS and "biscuit" not in e]
+    docs = spark.createDataFrame([(1, "one scoundrel biscuit"), (2, "one scoundrel knave")], "doc_id bigint, text string")
+    assert {x.doc_id: x.predicted for x in tx.score(docs, model).collect()} == {1: 0, 2: 1}
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "text string, toxic int")
+    model = tx.train(none)
+    assert model.lexicon == {} and model.exceptions == tx.EXCEPTIONS
+    assert tx.score(spark.createDataFrame([], "doc_id bigint, text string"), model).count() == 0
+    docs, labels = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert tx.labelled_rows(docs, labels).count() == 0
+
+
+def test_draw_is_bounded_for_repeated_ids(spark):
+    docs = spark.createDataFrame([(0, f"t {i}") for i in range(3000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (None, 1)], "doc_id bigint, toxic int")
+    rows = tx.labelled_rows(docs, labels, most=200).collect()
+    assert 100 < len(rows) < 320 and {x.toxic for x in rows} == {1}
+
+
 def test_nothing_to_learn_from(spark):
     one_kind = spark.createDataFrame([("abc def", 0), (None, 0)], "text string, toxic int")
     model = tx.train(one_kind)
