@@ -155,3 +155,8 @@ def label_set(**labels: Column) -> Column:
     """Names and values of labels in braces, with backslashes before backslashes, quotes and line ends in values."""
     escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'{k}="'), escaped(v), F.lit('"')) for k, v in labels.items()]), F.lit("}"))
+
+
+def exact_mean(x: Column, scale: int = 1000) -> Column:
+    """The mean of numbers that are whole multiples of 1 / ``scale``, summed as integers: the same in whatever order they come."""
+    return F.sum(F.round(x * scale).cast("bigint")).cast("double") / (scale * F.count(x))

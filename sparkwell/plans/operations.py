@@ -75,14 +75,14 @@ def queue_p95_variants(read):
     return v.select(F.col("event_type").alias("queue"), tx.rounded(inside, 4).alias("exclusive"), tx.rounded(F.get("v", F.floor(0.95 * F.size("v")).cast("int") - 1), 4).alias("floored"))
 
 
-@query(f"""WITH {SAMPLES} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {r("sum(CASE WHEN event_type = 'view' THEN value * 0.001 ELSE 0 END)", 4)} AS embeddings, {r("sum(CASE WHEN event_type IN ('click', 'signup') THEN value * 0.001 ELSE 0 END)", 4)} AS retrieval,
-  {r("greatest(0, sum(value * 0.001) - sum(CASE WHEN event_type IN ('view', 'click', 'signup') THEN value * 0.001 ELSE 0 END))", 4)} AS generation, {r('sum(value * 0.001)', 4)} AS total FROM s GROUP BY 1""")
+@query(f"""WITH {SAMPLES} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {r("sum(CASE WHEN event_type = 'view' THEN value * 0.001 ELSE 0 END)", 6)} AS embeddings, {r("sum(CASE WHEN event_type IN ('click', 'signup') THEN value * 0.001 ELSE 0 END)", 6)} AS retrieval,
+  {r("greatest(0, sum(value * 0.001) - sum(CASE WHEN event_type IN ('view', 'click', 'signup') THEN value * 0.001 ELSE 0 END))", 6)} AS generation, {r('sum(value * 0.001)', 6)} AS total FROM s GROUP BY 1""")
 def cost_daily(read):
     cost = F.col("value") * 0.001
     part = lambda *kinds: F.sum(F.when(F.col("event_type").isin(*kinds), cost).otherwise(0.0))
     return samples(read).groupBy(F.to_date("ts").cast("string").alias("day")).agg(
-        tx.rounded(part("view"), 4).alias("embeddings"), tx.rounded(part("click", "signup"), 4).alias("retrieval"),
-        tx.rounded(F.greatest(F.lit(0.0), F.sum(cost) - part("view", "click", "signup")), 4).alias("generation"), tx.rounded(F.sum(cost), 4).alias("total"),
+        tx.rounded(part("view"), 6).alias("embeddings"), tx.rounded(part("click", "signup"), 6).alias("retrieval"),
+        tx.rounded(F.greatest(F.lit(0.0), F.sum(cost) - part("view", "click", "signup")), 6).alias("generation"), tx.rounded(F.sum(cost), 6).alias("total"),
     )
 
 

@@ -258,7 +258,7 @@ def index_list(read):
     return read("documents").select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("place"))
 
 
-PROVIDERS = f"""{SAMPLES}, g AS (SELECT event_type AS provider, count(*) AS requests, {r('avg(value)', 2)} AS avg_latency, quantile_disc(value, 0.95) AS p95_latency, {r('avg(CASE WHEN k >= 5 THEN 1.0 ELSE 0.0 END)', 4)} AS expected_rate, {r('avg(value * 0.001)', 6)} AS avg_cost, {r('sum(value * 0.001)', 4)} AS total_cost FROM s WHERE NOT failed GROUP BY 1)"""
+PROVIDERS = f"""{SAMPLES}, g AS (SELECT event_type AS provider, count(*) AS requests, {r('avg(value)', 2)} AS avg_latency, quantile_disc(value, 0.95) AS p95_latency, {r('avg(CASE WHEN k >= 5 THEN 1.0 ELSE 0.0 END)', 4)} AS expected_rate, {r('avg(value * 0.001)', 6)} AS avg_cost, {r('sum(value * 0.001)', 6)} AS total_cost FROM s WHERE NOT failed GROUP BY 1)"""
 
 
 @query(f"WITH {PROVIDERS} SELECT * FROM g")
@@ -267,7 +267,7 @@ def provider_benchmark(read):
     cost = F.col("value") * 0.001
     return samples(read).where("not failed").groupBy(F.col("event_type").alias("provider")).agg(
         F.count("*").alias("requests"), tx.rounded(F.avg("value"), 2).alias("avg_latency"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95_latency"),
-        tx.rounded(F.avg(F.when(F.col("k") >= 5, 1.0).otherwise(0.0)), 4).alias("expected_rate"), tx.rounded(F.avg(cost), 6).alias("avg_cost"), tx.rounded(F.sum(cost), 4).alias("total_cost"),
+        tx.rounded(F.avg(F.when(F.col("k") >= 5, 1.0).otherwise(0.0)), 4).alias("expected_rate"), tx.rounded(F.avg(cost), 6).alias("avg_cost"), tx.rounded(F.sum(cost), 6).alias("total_cost"),
     )
 
 
@@ -278,6 +278,10 @@ def best_providers(read):
     return g.agg(least(F.col("avg_latency")).alias("fastest"), least(F.col("total_cost")).alias("cheapest"), least(-F.col("expected_rate")).alias("best"))
 
 
+def mean(x: str, scale: int = 1000) -> str:
+    return f"(sum(CAST(round(({x}) * {scale}) AS BIGINT))::DOUBLE / ({scale} * count({x})))"
+
+
 EVALS = f"""x AS (WITH {FAITH} SELECT conv_id, turn, faithfulness FROM faith), y AS (WITH {RELEVANCE} SELECT conv_id, turn, relevance FROM rel), ev AS (SELECT *, conv_id % 3 AS variant FROM x JOIN y USING (conv_id, turn))"""
 
 
@@ -287,22 +291,23 @@ def evals(read):
 
 
 @query(f"""WITH {EVALS} SELECT count(*) AS samples, count(*) FILTER (WHERE faithfulness >= 0.5 AND relevance >= 0.5) AS passed, {r('avg(CASE WHEN faithfulness >= 0.5 AND relevance >= 0.5 THEN 1.0 ELSE 0.0 END)', 4)} AS pass_rate,
-  {r('avg(faithfulness)', 3)} AS faithfulness, {r('avg(relevance)', 3)} AS relevance, {r('avg((faithfulness + relevance) / 2)', 3)} AS average FROM ev""")
+  {r(mean('faithfulness'), 3)} AS faithfulness, {r(mean('relevance'), 3)} AS relevance, {r(mean('(faithfulness + relevance) / 2', 2000), 3)} AS average FROM ev""")
 def eval_runs(read):
     """A sample passes if all its scores do; the mean of each score."""
     good = (F.col("faithfulness") >= 0.5) & (F.col("relevance") >= 0.5)
     return evals(read).agg(
         F.count("*").alias("samples"), F.count_if(good).alias("passed"), tx.rounded(F.avg(F.when(good, 1.0).otherwise(0.0)), 4).alias("pass_rate"),
-        tx.rounded(F.avg("faithfulness"), 3).alias("faithfulness"), tx.rounded(F.avg("relevance"), 3).alias("relevance"), tx.rounded(F.avg((F.col("faithfulness") + F.col("relevance")) / 2), 3).alias("average"),
+        tx.rounded(tx.exact_mean(F.col("faithfulness")), 3).alias("faithfulness"), tx.rounded(tx.exact_mean(F.col("relevance")), 3).alias("relevance"),
+        tx.rounded(tx.exact_mean((F.col("faithfulness") + F.col("relevance")) / 2, 2000), 3).alias("average"),
     )
 
 
-@query(f"WITH {EVALS} SELECT variant, count(*) AS requests, {r('avg(faithfulness)', 4)} AS faithfulness, {r('avg(relevance)', 4)} AS relevance, {r('avg((faithfulness + relevance) / 2)', 4)} AS quality FROM ev GROUP BY 1")
+@query(f"WITH {EVALS} SELECT variant, count(*) AS requests, {r(mean('faithfulness'), 4)} AS faithfulness, {r(mean('relevance'), 4)} AS relevance, {r(mean('(faithfulness + relevance) / 2', 2000), 4)} AS quality FROM ev GROUP BY 1")
 def model_benchmark(read):
     """Models, here thirds of the conversations, by the mean of their answers' scores."""
-    mean = lambda c: tx.rounded(F.avg(c), 4)
+    of = lambda c, scale=1000: tx.rounded(tx.exact_mean(c, scale), 4)
     return evals(read).groupBy("variant").agg(
-        F.count("*").alias("requests"), mean(F.col("faithfulness")).alias("faithfulness"), mean(F.col("relevance")).alias("relevance"), mean((F.col("faithfulness") + F.col("relevance")) / 2).alias("quality")
+        F.count("*").alias("requests"), of(F.col("faithfulness")).alias("faithfulness"), of(F.col("relevance")).alias("relevance"), of((F.col("faithfulness") + F.col("relevance")) / 2, 2000).alias("quality")
     )
 
 

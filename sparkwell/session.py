@@ -32,9 +32,9 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt anew if its files give fewer splits than there are cores, so that a small table in one file keeps them all busy.
+    """``df`` dealt anew if its files give fewer splits than there are cores, so that a table in one file keeps them all busy.
 
-    Large tables have more splits than that and stay as they are.
+    Large tables have more splits than that and stay as they are; a table of one split (below ``spark.sql.files.openCostInBytes``) is not worth it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 1 < df.rdd.getNumPartitions() < cores else df
