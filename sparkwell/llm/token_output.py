@@ -29,7 +29,7 @@ def encode_documents(
 ) -> DataFrame:
     """The documents' ids as rows of ``CONTAINERS``, in ascending order of ``doc_id``.
 
-    A range partitioning by id (ties by a hash of the text, then by place) makes each partition a shard whose documents follow
+    A range partitioning by id (ties by place in the input) makes each partition a shard whose documents follow
     those of the shard before; the ties part rows that share an id, or have none, among shards too. Null text is empty text and
     gives the end id alone; a null id sorts
     first; repeated rows are coded as often as they come; texts are coded whole, however long; other columns are ignored; an empty table
@@ -65,8 +65,8 @@ def encode_documents(
             yield container()
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("place"))
-    order = ["doc_id", "tie", "place"]
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("place"))
+    order = ["doc_id", "place"]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(code, CONTAINERS)
 
 
