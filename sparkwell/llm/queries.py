@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, embedding_dedup
+from .alignment import op13_token_alignment
 from .chat import op5_chat_format
 from .decontaminate import op8_template_matches
 from .embedding_dedup import op6_rotated_code_links
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_template_matches,
         op9_lexicon_toxicity,
         op10_simhash_components,
+        op13_token_alignment,
     )
 }
 
