@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding_dedup
+from . import centroids, chat, embedding_dedup, quality_rules
 from .alignment import op13_token_alignment
+from .centroids import op12_adaptive_clusters
 from .chat import op5_chat_format
 from .decontaminate import op8_template_matches
 from .embedding_dedup import op6_rotated_code_links
 from .language_id import op1_language_mixture
 from .packing import op4_minimum_slack_packing
+from .quality_rules import op11_host_rules
 from .simhash import op10_simhash_components
 from .token_counts import op3_length_histogram
 from .token_output import op2_simple8b_tokens
@@ -32,8 +34,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_template_matches,
         op9_lexicon_toxicity,
         op10_simhash_components,
+        op11_host_rules,
+        op12_adaptive_clusters,
         op13_token_alignment,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {op5_chat_format.__name__: chat.ORACLE, op6_rotated_code_links.__name__: embedding_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    op5_chat_format.__name__: chat.ORACLE,
+    op6_rotated_code_links.__name__: embedding_dedup.ORACLE,
+    op11_host_rules.__name__: quality_rules.ORACLE,
+    op12_adaptive_clusters.__name__: centroids.ORACLE,
+}
