@@ -37,7 +37,8 @@ def one_of(words: str) -> str:
     return "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
 
 
-# Patterns begin with the letter that they need, since most places of a text then cost a look at one letter only.
+# Patterns begin with the letter that they need, since most places of a text then cost a look at one letter only. Groups of varying length
+# are repeated possessively, which Java runs as a loop: a greedy one takes a stack frame for each repeat and ends the JVM on long rows of names or numbers.
 GAP = r"(?=\s)[^\S\n]*\n?[^\S\n]*"
 CAPITAL = rf"(?=\p{{Lu}})(?!(?:{one_of(COMMON)})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\p{{Ll}}+(?:\p{{Lu}}\p{{Ll}}+)*+(?![\p{{L}}\p{{N}}])"
 INITIAL = rf"(?:\.(?:{GAP})?|['’])"
@@ -56,11 +57,11 @@ def slotted(text: Column) -> Column:
     plain = F.coalesce(text, F.lit(""))
     for mark in (SLOT, JOIN, PART_END, POINT):
         plain = F.replace(plain, F.lit(mark), F.lit(" "))
-    numbers = F.regexp_replace(plain, r"\p{Nd}(?<![\p{L}\p{N}]\p{Nd})\p{Nd}*+(?:[.,]\p{Nd}+)*(?![\p{L}\p{N}])", f" {NUMBER}$0 ")
+    numbers = F.regexp_replace(plain, r"\p{Nd}(?<![\p{L}\p{N}]\p{Nd})\p{Nd}*+(?:[.,]\p{Nd}++(?![\p{L}\p{N}]))*+(?![\p{L}\p{N}])", f" {NUMBER}$0 ")
     units = F.regexp_replace(numbers, rf"({NUMBER}\S+\s+)((?i:{UNITS})|[%€$£])(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2 ")
     points = F.regexp_replace(units, r"[.,](?<=\p{Nd}[.,])(?=\p{Nd})", POINT)
     joined = F.regexp_replace(points, rf"{PART}(?=(?:\p{{Lu}}{INITIAL}){{0,3}}{CAPITAL})", "$1$2$3\u0002")
-    return F.lower(F.regexp_replace(joined, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}\u0002])(?:\p{{Lu}}\p{{Ll}}*\u0002)*{CAPITAL}", f"{NAME}$0"))
+    return F.lower(F.regexp_replace(joined, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}\u0002])(?:\p{{Lu}}\p{{Ll}}*+\u0002)*+{CAPITAL}", f"{NAME}$0"))
 
 
 def words_of(marked: Column) -> Column:

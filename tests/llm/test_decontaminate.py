@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from sparkwell.llm import decontaminate as dc
 
 ITEM = "If Anna buys, say, 3 apples and Tom buys 12 kg of pears, how many apples does Anna have after 3 days in the shop?"
@@ -179,3 +181,20 @@ def test_names_anywhere_and_any_case(spark):
     got = {(r.doc_id, r.item_id): r for r in got}
     assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2), (7, 3), (8, 3), (9, 3), (10, 1)}
     assert got[7, 3].coverage == 1 and got[7, 3].refilled == 0 and got[1, 1].refilled > 0
+
+
+def test_no_pattern_takes_a_frame_for_each_repeat(spark):
+    """Rows of 200,000 numbers, names, initials, hyphens and line ends in one text."""
+    n = 200_000
+    texts = ["1,2." * n, "Anna Berg " * n, "Anna-" * n, "J. " * n, "O'" * n, "a-" * n, "\n" * n, "Mrs. " * n, "3 km " * n, "McDonald " * n, "A\n" * n]
+    docs = spark.createDataFrame([(i, f"start {t} end") for i, t in enumerate(texts)], "doc_id int, text string").repartition(4)
+    lengths = docs.select("doc_id", F.length(dc.slotted(F.col("text"))).alias("n")).collect()
+    assert len(lengths) == len(texts) and all(r.n > n for r in lengths)
+
+
+def test_numbers_and_names_are_slotted_as_before(spark):
+    texts = ["1.5x 2.5 1,000.25, 3.14. 1.5.x 7a 1,2,3", "Anna Berg and J. R. Smith met McDonald, Mrs. Jones-Brown and A. B. C. D. Ray."]
+    got = [r.s.split() for r in spark.createDataFrame([(t,) for t in texts], "t string").select(dc.slotted(F.col("t")).alias("s")).collect()]
+    show = lambda w: w.replace("\u0001", "#").replace("\u0002", "_").replace("\u0004", "'")
+    assert [show(w) for w in got[0]] == ["#n1", ".5x", "#n2'5", "#n1'000'25", ",", "#n3'14", ".", "#n1'5", ".x", "7a", "#n1'2'3"]
+    assert [show(w) for w in got[1]] == ["#panna_berg", "and", "#pj_r_smith", "met", "#pmcdonald,", "#pmrs_jones_brown", "and", "#pa_b_c_d_ray."]
