@@ -38,11 +38,16 @@ def matched(text: Column, patterns) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(p)) for p in patterns]))
 
 
+#: Where a match of a kind can begin: at the first letter of a run of its letters, or after the match before. Else each letter of a long run is tried.
+BEGINS = {"email": r"(?:\G|(?<![a-zA-Z0-9._%+-]))"}
+
+
 def without_pii(text: Column) -> Column:
     """Struct (kinds, redacted): kinds are looked for in the text itself, replacements follow each other."""
-    kinds = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in PII.items()]))
+    patterns = {kind: BEGINS.get(kind, "") + pattern for kind, pattern in PII.items()}
+    kinds = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in patterns.items()]))
     redacted = text
-    for kind, pattern in PII.items():
+    for kind, pattern in patterns.items():
         redacted = F.regexp_replace(redacted, pattern, f"[REDACTED_{kind.upper()}]")
     return F.struct(kinds.alias("kinds"), redacted.alias("redacted"))
 

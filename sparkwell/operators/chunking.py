@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANKS, trimmed
+from ..functions.text import BLANKS, let, trimmed
+
+
+#: A blank line's line ends. Possessive: Java runs it as a loop, where a greedy group would take a stack frame for each line end.
+GAP = r"(?:\r?\n){2,}+"
+#: Sums run within blocks of so many, then over blocks, since an array grows by copying.
+SUMMED = 512
+
+
+def running(lengths: Column) -> Column:
+    """The sum of what stands before each member of an array of ints, within the row."""
+
+    def before(values: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("sums"), F.lit(0).alias("at"))
+        return F.aggregate(values, start, lambda s, x: F.struct(F.concat(s["sums"], F.array(s["at"])).alias("sums"), (s["at"] + x).alias("at")))
+
+    def of(values: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(SUMMED))
+        return let(F.transform(firsts, lambda i: before(F.slice(values, i, F.lit(SUMMED)))), over)
+
+    def over(blocks: Column) -> Column:
+        starts = before(F.transform(blocks, lambda b: b["at"]))["sums"]
+        return F.flatten(F.zip_with(blocks, starts, lambda b, s: F.transform(b["sums"], lambda x: x + s)))
+
+    return let(lengths, of)
 
 
 def sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -13,19 +37,10 @@ def sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Offsets are of the trimmed paragraph in the document; blank paragraphs take no number.
     """
-    parts, gaps = F.split(F.col(text), r"(?:\r?\n){2,}"), F.regexp_extract_all(F.col(text), F.lit(r"(?:\r?\n){2,}"), 0)
+    parts, gaps = F.split(F.col(text), GAP), F.regexp_extract_all(F.col(text), F.lit(GAP), 0)
     placed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), parts.alias("parts"), gaps.alias("gaps"))
-    # Starts by running sums over part and gap lengths, within the row.
-    empty = F.array().cast("array<struct<text:string,start:int>>")
-    walked = F.aggregate(
-        F.arrays_zip("parts", "gaps"),
-        F.struct(empty.alias("out"), F.lit(0).alias("at")),
-        lambda s, p: F.struct(
-            F.concat(s["out"], F.array(F.struct(p["parts"].alias("text"), s["at"].alias("start")))).alias("out"),
-            (s["at"] + F.length(p["parts"]) + F.coalesce(F.length(p["gaps"]), F.lit(0))).alias("at"),
-        ),
-        lambda s: s["out"],
-    )
+    lengths = F.transform(F.arrays_zip("parts", "gaps"), lambda p: F.length(p["parts"]) + F.coalesce(F.length(p["gaps"]), F.lit(0)))
+    walked = F.zip_with("parts", running(lengths), lambda p, at: F.struct(p.alias("text"), at.alias("start")))
     whole = F.when(F.size("parts") == 1, F.array(F.struct(F.col("parts")[0].alias("text"), F.lit(0).alias("start")))).otherwise(walked)
     kept = F.filter(whole, lambda p: F.length(trimmed(p["text"])) > 0)
     out = placed.select("doc_id", F.posexplode(kept).alias("n", "p"))
