@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import dead_letters
 from ..operators.embedding import embedding_map, lexical, quantised, signed_hash
 from ..operators.search import topk
 from .operations import SAMPLES, r, samples
@@ -133,13 +134,41 @@ def hyde_delta(read):
     return before.join(after, "query_id").select("query_id", "before", "after", tx.rounded(F.col("after") - F.col("before"), 6).alias("change"))
 
 
-@query(f"""WITH {SAMPLES}, d AS (SELECT *, row_number() OVER (ORDER BY event_id) AS i FROM s WHERE failed), j AS (SELECT event_type AS job_type, event_id % 3 AS outcome FROM s WHERE k >= 5)
-SELECT job_type, count(*) AS total, count(*) FILTER (WHERE outcome = 0) AS scheduled, count(*) FILTER (WHERE outcome = 1) AS dry_run, count(*) FILTER (WHERE outcome = 2) AS failed FROM j GROUP BY 1""")
+#: Attempts that jobs of a kind have; jobs of other kinds cannot be queued again.
+ATTEMPTS = {"click": 4, "purchase": 5, "view": 3}
+REDRIVEN_SQL = f"""{SAMPLES}, policy(job_type, most) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in ATTEMPTS.items())}),
+dead AS (SELECT event_id, event_type AS job_type, k AS attempts, value, most FROM s LEFT JOIN policy ON event_type = job_type WHERE k >= coalesce(most, 6)),
+tried AS (SELECT *, CASE WHEN most IS NULL THEN 'no retry policy for ' || job_type WHEN value IS NULL OR value < 20 THEN 'payload not valid' WHEN attempts > 2 * most THEN 'driven again too often' END AS refused FROM dead),
+redriven AS (SELECT event_id, job_type, attempts, CASE WHEN job_type = 'view' AND attempts = 3 THEN 'dry-run' WHEN refused IS NOT NULL THEN 'failed' ELSE 'scheduled' END AS status, refused FROM tried)"""
+
+
+def redriven(read) -> DataFrame:
+    """Dead jobs, whose attempts are used up, driven again; views at their first chance are only looked at."""
+    kind = F.col("job_type")
+    most = F.create_map(*[x for k, v in ATTEMPTS.items() for x in (F.lit(k), F.lit(v))])[kind]
+    jobs = samples(read).select("event_id", F.col("event_id").cast("string").alias("job_id"), F.col("event_type").alias("job_type"), F.col("k").alias("attempts"), "value").withColumn("most", most)
+    dead = jobs.where(F.col("attempts") >= F.coalesce("most", F.lit(6))).withColumn("payload", F.col("value").cast("string"))
+    refused = (
+        F.when(F.col("most").isNull(), F.concat(F.lit("no retry policy for "), kind)).when(F.col("value").isNull() | (F.col("value") < 20), "payload not valid")
+        .when(F.col("attempts") > 2 * F.col("most"), "driven again too often")
+    )
+    return dead_letters.outcomes(dead, refused, dry=(kind == "view") & (F.col("attempts") == 3))
+
+
+@query(f"""WITH {REDRIVEN_SQL} SELECT event_id, job_type, status, CASE WHEN status = 'dry-run' THEN coalesce('would fail: ' || refused, 'validation passed') ELSE refused END AS reason,
+  CASE status WHEN 'failed' THEN attempts + 1 WHEN 'dry-run' THEN attempts END AS attempts_after, CASE WHEN status = 'scheduled' THEN substr(sha256(event_id || ':' || attempts), 1, 16) END AS new_job_id FROM redriven""")
+def dlq_outcomes(read):
+    """What driving each dead job again comes to: the audit's rows, and the attempts of those that stay."""
+    return redriven(read).select("event_id", "job_type", "status", "reason", F.col("attempts_after").cast("bigint").alias("attempts_after"), "new_job_id")
+
+
+@query(f"""WITH {REDRIVEN_SQL} SELECT job_type, count(*) AS total, count(*) FILTER (WHERE status = 'scheduled') AS scheduled, count(*) FILTER (WHERE status = 'dry-run') AS dry_run,
+  count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status <> 'scheduled') AS still_dead FROM redriven GROUP BY ROLLUP (job_type)""")
 def dlq_redrive(read):
-    """Dead letters by job type and by what a second try made of them."""
-    outcome = F.col("event_id") % 3
-    return samples(read).where("k >= 5").groupBy(F.col("event_type").alias("job_type")).agg(
-        F.count("*").alias("total"), F.count_if(outcome == 0).alias("scheduled"), F.count_if(outcome == 1).alias("dry_run"), F.count_if(outcome == 2).alias("failed")
+    """The tries' history by job type and in all, and how many jobs are dead after them."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    return redriven(read).rollup("job_type").agg(
+        F.count("*").alias("total"), of("scheduled").alias("scheduled"), of("dry-run").alias("dry_run"), of("failed").alias("failed"), F.count("attempts_after").alias("still_dead")
     )
 
 
