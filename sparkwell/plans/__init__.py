@@ -1,6 +1,6 @@
 """Named queries over the driver tables, each with the SQL that a second engine runs."""
 
-from . import caching, more, operations, quality, reports, retrieval
+from . import alerting, caching, more, operations, quality, reports, retrieval
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "caching", "more", "operations", "quality", "reports", "retrieval"]
+__all__ = ["ORACLES", "QUERIES", "alerting", "caching", "more", "operations", "quality", "reports", "retrieval"]
