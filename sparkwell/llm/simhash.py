@@ -201,15 +201,19 @@ def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", r
     return hashed.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(rows: DataFrame, *, row: str, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(row): one row's number for each group of near-duplicates, that of the smallest id (null ids last), then of the smallest number.
+def followers(rows: DataFrame, *, row: str, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(row): the numbers of the rows that go so that one of each group of near-duplicates stays.
 
-    ``row`` must number the rows; ids may be null or repeat. Empty tables give none.
+    That of the smallest id stays (null ids last), then of the smallest number. ``row`` must number the rows; ids may be null or repeat. Empty
+    tables give none.
     """
     hashed = written(fingerprints(rows, text=text, row=row, id=doc_id), "simhash")
-    least = cut(hashed.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("order")))
-    best = least.join(roots(hashed, radius=radius), "fp").groupBy("root").agg(F.min("order").alias("order"))
-    return best.select(F.col("order.row").alias("row"))
+    least = cut(hashed.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("order"), F.count("*").alias("n")))
+    named = cut(least.join(roots(hashed, radius=radius), "fp"))
+    best = named.groupBy("root").agg(F.min("order").alias("best"), F.sum("n").alias("n")).where("n > 1")
+    # Most rows are alone; only the groups' fingerprints meet the rows.
+    grouped = cut(named.join(best, "root").select("fp", F.col("best.row").alias("stays")))
+    return hashed.join(grouped, "fp").where("row <> stays").select("row")
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
