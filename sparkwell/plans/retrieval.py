@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import understand
 from ..functions.text import trimmed
-from ..operators import graph
+from ..operators import graph, graph_store
 from ..operators.chunking import chunks, sections
 from ..operators.embedding import embedding_map, lexical, quantised, valid, variance, widest_dimensions
 from ..operators.search import fuse, hybrid, rerank, topk
@@ -250,6 +250,35 @@ def graph_bfs_steps(read):
     return graph.steps(hits, graph.edges(found))
 
 
+STEMMED = f"array_to_string(list_transform(string_split(label, ' '), lambda w: {STEM}), ' ')"
+
+
+@query(f"""WITH {ENTITIES}, n AS (SELECT chunk_id, label, confidence, {STEMMED} AS alias FROM g)
+SELECT min(label) AS entity, alias, count(DISTINCT label) AS labels, count(DISTINCT chunk_id) AS chunks, max(CAST(confidence AS DOUBLE)) AS confidence FROM n GROUP BY alias HAVING count(DISTINCT label) > 1""")
+def graph_aliases(read):
+    """Entities of several labels that share an alias, here their singular."""
+    found = graph_store.mentions(all_chunks(read), [lambda c: graph.entities(c).withColumn("aliases", graph_store.stem_alias(F.col("label")))])
+    alias = F.concat(F.lit("the "), F.col("aliases")[0])  # no label begins so: a label is not taken for another's alias
+    named = found.groupBy("label").agg(F.first(F.array(alias)).alias("aliases"))
+    rows = found.join(graph_store.resolved(named), "label")
+    merged = rows.groupBy("entity").agg(
+        F.first(F.col("aliases")[0]).alias("alias"), F.countDistinct("label").alias("labels"), F.countDistinct("chunk_id").alias("chunks"), F.max("confidence").alias("confidence")
+    )
+    return merged.where("labels > 1")
+
+
+@query(f"""WITH {STEPS}, w1 AS (SELECT query_id, a AS source, b AS target, confidence, confidence AS way FROM hits JOIN ways ON a = label WHERE (query_id, b) NOT IN (SELECT (query_id, label) FROM hits)),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, target ORDER BY way DESC, source) AS n FROM w1 QUALIFY n = 1), s1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY way DESC, target) AS m FROM b1 QUALIFY m <= 3),
+w2 AS (SELECT s1.query_id, a AS source, b AS target, ways.confidence, s1.way * ways.confidence AS way FROM s1 JOIN ways ON a = target WHERE (s1.query_id, b) NOT IN (SELECT (query_id, label) FROM hits) AND (s1.query_id, b) NOT IN (SELECT (query_id, target) FROM s1)),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, target ORDER BY way DESC, source) AS n FROM w2 QUALIFY n = 1), s2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY way DESC, target) AS m FROM b2 QUALIFY m <= 3)
+SELECT query_id, source, target, CAST(1 AS BIGINT) AS depth, confidence FROM s1 UNION ALL SELECT query_id, source, target, 2, confidence FROM s2""")
+def graph_strongest_steps(read):
+    """Walks from the questions' entities along the strongest ways, three new targets at each depth."""
+    found = found_entities(read)
+    hits = graph.entity_hits(questions(read), graph.nodes(found))
+    return graph_store.strongest(3)(hits, graph.edges(found))
+
+
 def graph_signals(read, k: int, of=None):
     """``graph.chunk_scores`` of the benchmark's questions, or of those in ``of``."""
     found = found_entities(read)
