@@ -15,9 +15,27 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+#: Characters that compatibility composition leaves as they are, whatever stands beside them: of common scripts, not all there are.
+STABLE = (
+    r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB\u00AC\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3"
+    r"\u0391-\u03A1\u03A3-\u03CE\u0400-\u0482\u048A-\u052F\u2013\u2014\u2018-\u201A\u201C-\u201E\u20AC\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3"
+)
+
+
+def nfkc(text) -> Column:
+    """The text in compatibility composition (NFKC): full-width letters are plain ones, ligatures their letters, marks part of their letters.
+
+    Texts of STABLE characters are looked at once and stay as they are; only others go through the Unicode library that comes with Spark, within the JVM. Spark
+    takes calls into libraries for ones whose result may vary, so it computes this where it stands and does not move it.
+    """
+    t = _col(text)
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(t, F.lit("")), F.lit(True))
+    return F.when(t.rlike(f"[^{STABLE}]"), composed).otherwise(t)
+
+
 def words(text) -> Column:
-    """Runs of a-z and 0-9 of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9]+"), 0)
+    """Runs of a-z and 0-9 of the lower-cased text in compatibility composition."""
+    return F.regexp_extract_all(F.lower(nfkc(text)), F.lit("[a-z0-9]+"), 0)
 
 
 def stem(word: Column) -> Column:
@@ -37,7 +55,7 @@ def stems(text) -> Column:
 
 def unicode_stems(text) -> Column:
     """Stems of runs of letters and digits of any script."""
-    return F.transform(F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}]+"), 0), stem)
+    return F.transform(F.regexp_extract_all(F.lower(nfkc(text)), F.lit(r"[\p{L}\p{N}]+"), 0), stem)
 
 
 def long_words(text) -> Column:
@@ -105,6 +123,30 @@ def rounded(x: Column, digits: int) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def to_fixed(x: Column, digits: int) -> Column:
+    """The double's exact value rounded to ``digits`` (9 at most), of two equally near the larger by size: 1.005 gives 1.0, 8.345 gives 8.35, 1.115 gives 1.11.
+
+    The scaled number's rounding error is found exactly by splitting both factors, so a number just below a half is not taken for one.
+    Numbers whose scaled size is 2^52 and more, infinities and NaN stay as they are.
+    """
+    if not 0 <= digits <= 9:
+        raise ValueError("digits must be from 0 to 9")
+    scale, split = float(10**digits), 134217729.0  # 2^27 + 1
+    high = split * scale - (split * scale - scale)
+    low = scale - high
+
+    def of(v: Column) -> Column:
+        p, h = v["a"] * scale, split * v["a"] - (split * v["a"] - v["a"])
+        return let(F.struct(p.alias("p"), (((h * high - p) + h * low + (v["a"] - h) * high) + (v["a"] - h) * low).alias("e")), done)
+
+    def done(v: Column) -> Column:
+        whole = F.floor(v["p"]).cast("double")
+        return F.when((v["p"] - whole - 0.5) + v["e"] >= 0, whole + 1).otherwise(whole) / scale
+
+    small = F.abs(x) * scale < 2.0**52
+    return F.when(x.isNull(), x).when(~small | F.isnan(x), x).otherwise(F.signum(x) * let(F.struct(F.abs(x).alias("a")), of))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

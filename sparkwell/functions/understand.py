@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import rounded, stem, trimmed, words
+from .text import nfkc, rounded, stem, trimmed, words
 
 #: Words that rewriting drops.
 FILLERS = (
@@ -68,7 +68,7 @@ ROUTING = {
 
 def rewrite(query: Column) -> Column:
     """The query lower-cased without punctuation and filler words; null if nothing remains or nothing changed."""
-    plain = F.regexp_replace(F.lower(query), r"[^a-z0-9_\s'-]", " ")
+    plain = F.regexp_replace(F.lower(nfkc(query)), r"[^a-z0-9_\s'-]", " ")
     kept = F.filter(F.split(trimmed(plain), r"\s+"), lambda w: (w != "") & ~w.isin(FILLERS))
     text = F.array_join(kept, " ")
     return F.when((text != "") & (text != F.lower(trimmed(query))), text)

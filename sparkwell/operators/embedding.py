@@ -28,8 +28,10 @@ def lexical(text: Column, width: int = LEXICAL_WIDTH) -> Column:
     A vectorised function with a memory of words, since a hash by expressions walks every letter of every word.
     """
     import re
+    import unicodedata
 
     pattern = re.compile("[a-z0-9]+")
+    plain = lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t)
 
     def embed(texts):
         bucket: dict[str, int] = {}
@@ -37,7 +39,7 @@ def lexical(text: Column, width: int = LEXICAL_WIDTH) -> Column:
             out = []
             for one in series:
                 counts = np.zeros(width)
-                for word in pattern.findall((one or "").lower()):
+                for word in pattern.findall(plain(one or "").lower()):
                     at = bucket.get(word)
                     if at is None:
                         h = 0

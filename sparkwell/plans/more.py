@@ -19,7 +19,7 @@ b AS (SELECT item_id, (ord(c) + 31 * i) % 16 AS bucket, sum(((ord(c) % 37) + 1)
 SELECT item_id, bucket, {r('w / n', 6)} AS x FROM b JOIN n USING (item_id)""")
 def embed_positions(read):
     """Sixteen buckets by letter and place, scaled to length 1."""
-    c = read("benchmark").select("item_id", F.posexplode(F.split(F.lower("text"), "")).alias("i", "c")).withColumn("o", F.ascii("c"))
+    c = read("benchmark").select("item_id", F.posexplode(F.split(F.lower(tx.nfkc("text")), "")).alias("i", "c")).withColumn("o", F.ascii("c"))
     b = c.groupBy("item_id", ((F.col("o") + 31 * F.col("i")) % 16).alias("bucket")).agg(F.sum((F.col("o") % 37 + 1) / 37.0).alias("w"))
     n = b.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
     return b.join(n, "item_id").select("item_id", "bucket", tx.rounded(F.col("w") / F.col("n"), 6).alias("x"))
@@ -219,3 +219,17 @@ def EXT_latest_orders(read):
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def EXT_customers_without_orders(read) -> DataFrame:
     return read("customer").join(read("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
+def fixed(x: str) -> str:
+    """Two digits of the exact value: the format rounds ties to even, so those, which end in an odd eighth, are rounded apart."""
+    return f"CASE WHEN {x} * 8 = floor({x} * 8) AND floor({x} * 8)::BIGINT % 2 = 1 THEN floor({x} * 100 + 0.5) / 100 ELSE CAST(printf('%.2f', {x}) AS DOUBLE) END"
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE / 8 AS a, l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE) * (1 + l_tax::DOUBLE) AS b, (l_partkey % 1000 + 0.005)::DOUBLE AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, {fixed('a')} AS a, {fixed('b')} AS b, {fixed('c')} AS c FROM x""")
+def fixed_digits(read):
+    """Amounts to two digits by their exact values."""
+    price, number = F.col("l_extendedprice").cast("double"), lambda c: F.col(c).cast("double")
+    x = read("lineitem").select("l_orderkey", "l_linenumber", (price / 8).alias("a"), (price * (1 - number("l_discount")) * (1 + number("l_tax"))).alias("b"), (F.col("l_partkey") % 1000 + 0.005).alias("c"))
+    return x.select("l_orderkey", "l_linenumber", *[tx.to_fixed(F.col(c), 2).alias(c) for c in "abc"])
