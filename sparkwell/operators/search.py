@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,22 +32,24 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return rows[found > -np.inf], ids[at][found > -np.inf], found[found > -np.inf]
 
 
-def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 9, within: str | None = None) -> DataFrame:
-    """(query_id, id, score, rank): each query's k nearest of all vectors; ties go to the smaller id.
+def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 9, within: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """(query_id, id, score, rank, and the columns to ``carry``): each query's k nearest of all vectors; ties go to the smaller id.
 
     ``queries`` is (query_id, qv), ``vectors`` (id, v), of doubles; with ``within``, a column of both, only vectors that agree with the query there count.
     Up to QUERIES queries are broadcast: every task streams its vectors past them and keeps the k best of each, so no vector is
     shuffled. More queries than that are dealt to blocks, as are the vectors, and each pair of blocks is one task's work of bounded size.
+    ``carry`` names columns of the vectors that come along with those found, so that nobody has to look for them again; ids must then be different.
     """
     columns = ["query_id", "qv", *([within] if within else [])]
     few = queries.select(*columns).limit(QUERIES + 1).toPandas()
     if len(few) > QUERIES:
-        return _topk_by_blocks(queries, vectors, k, digits, within)
+        return _topk_by_blocks(queries, vectors, k, digits, within, carry)
     id_type, query_type = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    shared = vectors.sparkSession.sparkContext.broadcast(few)
+    shared, carry = vectors.sparkSession.sparkContext.broadcast(few), list(carry)
+    along = "".join(f", `{c}` {vectors.schema[c].dataType.simpleString()}" for c in carry)
 
     def best(batches):
-        few = shared.value
+        few, told = shared.value, {}
         a = np.array(few["qv"].to_list(), np.float64)
         number, ids, scores = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
         for pdf in batches:
@@ -60,10 +64,16 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 9, wi
             number, ids, scores = number[order], ids[order], scores[order]
             place = np.arange(len(number)) - np.searchsorted(number, number)
             number, ids, scores = number[place < k], ids[place < k], scores[place < k]
-        yield pd.DataFrame({"query_id": few["query_id"].to_numpy()[number], "id": ids, "score": scores})
+            if carry:
+                left = set(ids)
+                told = {i: row for i, row in told.items() if i in left}
+                here = pdf[pdf["id"].isin(left)]
+                told.update(zip(here["id"], here[carry].itertuples(index=False, name=None), strict=True))
+        out = pd.DataFrame({"query_id": few["query_id"].to_numpy()[number], "id": ids, "score": scores})
+        yield out.assign(**{c: pd.Series([told[i][n] for i in ids], dtype=object) for n, c in enumerate(carry)})
 
-    listed = vectors.select("id", "v", *([within] if within else []))
-    return _ranked(listed.mapInPandas(best, f"query_id {query_type}, id {id_type}, score double"), k)
+    listed = vectors.select("id", "v", *([within] if within else []), *carry)
+    return _ranked(listed.mapInPandas(best, f"query_id {query_type}, id {id_type}, score double{along}"), k)
 
 
 def _ranked(near: DataFrame, k: int) -> DataFrame:
@@ -71,7 +81,9 @@ def _ranked(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _topk_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, digits: int, within: str | None) -> DataFrame:
+def _topk_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, digits: int, within: str | None, carry: Sequence[str] = ()) -> DataFrame:
+    carry = list(carry)
+    along = "".join(f", `{c}` {vectors.schema[c].dataType.simpleString()}" for c in carry)
     parts, blocks = max(1, -(-vectors.count() // ROWS)), max(1, -(-queries.count() // QUERIES))
     left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
@@ -79,14 +91,15 @@ def _topk_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, digits: int,
 
     def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return pd.DataFrame({c: [] for c in ("query_id", "id", "score", *carry)})
         scores = _scores(np.array(q["qv"].to_list(), np.float64), np.array(v["v"].to_list(), np.float64), digits)
         if within:
             scores[q[within].to_numpy()[:, None] != v[within].to_numpy()[None, :]] = -np.inf
         rows, ids, values = _best(scores, v["id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "id": ids, "score": values})
+        out = pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "id": ids, "score": values})
+        return out.merge(v[["id", *carry]].drop_duplicates("id"), on="id", how="left") if carry else out
 
-    return _ranked(left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(best, f"query_id {query_type}, id {id_type}, score double"), k)
+    return _ranked(left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(best, f"query_id {query_type}, id {id_type}, score double{along}"), k)
 
 
 def hybrid(candidates: DataFrame, weight: float = 0.65) -> DataFrame:

@@ -55,9 +55,11 @@ def dense(read, k: int):
 
 
 def candidates(read, k: int):
-    """The nearest chunks with their texts and questions."""
-    texts = all_chunks(read).select(F.col("chunk_id").alias("id"), "doc_id", "section_id", "text")
-    return dense(read, k).join(questions(read), "query_id").join(texts, "id")
+    """The nearest chunks with their texts and questions; chunks are made once, their texts come along with the vectors."""
+    carried = ("doc_id", "section_id", "text")
+    vectors = all_chunks(read).select(F.col("chunk_id").alias("id"), lexical(F.col("text")).alias("v"), *carried)
+    near = topk(questions(read).select("query_id", lexical(F.col("question")).alias("qv")), vectors, k, digits=6, carry=carried)
+    return near.join(questions(read), "query_id")
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, doc_id, n AS section_chunk_index, md5(text) AS text_md5, start_offset, start_offset + length(text) AS end_offset FROM chunks")

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -80,3 +81,17 @@ def test_fusion(spark):
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert chunks(sections(docs)).count() == 0
+
+
+def test_topk_carries_columns(spark, monkeypatch):
+    from sparkwell.operators import search
+
+    r = random.Random(3)
+    vectors = spark.createDataFrame([(f"v{i:03d}", [r.gauss(0, 1) for _ in range(8)], f"text {i}" if i % 9 else None, i) for i in range(300)], "id string, v array<double>, text string, n int").repartition(5)
+    queries = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(20)], "query_id int, qv array<double>")
+    told = {x.id: (x.text, x.n) for x in vectors.collect()}
+    few = sorted(map(tuple, search.topk(queries, vectors, 4, carry=("text", "n")).collect()))
+    monkeypatch.setattr(search, "QUERIES", 6)
+    many = sorted(map(tuple, search.topk(queries, vectors, 4, carry=("text", "n")).collect()))
+    plain = sorted(map(tuple, search.topk(queries, vectors, 4).collect()))
+    assert few == many and [(*x[:3], x[5]) for x in few] == plain and all(told[x[1]] == (x[3], x[4]) for x in few)
