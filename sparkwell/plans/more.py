@@ -11,7 +11,7 @@ from ..operators.embedding import embedding_map, lexical, quantised, signed_hash
 from ..operators.search import topk
 from .operations import SAMPLES, r, samples
 from .registry import query
-from .retrieval import MAP_SQL, STEM, VECTOR_SCORES, all_chunks, dense, guesses, questions, vectors_of
+from .retrieval import DENSE, MAP_SQL, NEAR_QUESTION, STEM, VECTOR_SCORES, all_chunks, dense, guesses, questions, shadow, vectors_of
 
 
 @query(f"""WITH c AS (SELECT item_id, unnest(string_split(lower(text), '')) AS c, unnest(generate_series(0, length(lower(text)) - 1)) AS i FROM benchmark),
@@ -101,14 +101,12 @@ def exact(read):
 
 
 
-@query()
+@query(f"WITH {DENSE}, {NEAR_QUESTION} SELECT query_id, cached, similarity, overlap, overlap >= 0.66 AS agrees, CASE WHEN overlap >= 0.75 THEN 'high' WHEN overlap >= 0.45 THEN 'medium' ELSE 'low' END AS label FROM shadow")
 def shadow_evaluation(read):
-    """How far results of int8 codes, as a cache would serve, agree with fresh ones."""
-    ids = lambda df, name: df.groupBy("query_id").agg(F.collect_set("id").alias(name))  # noqa: E731  five ids a query
-    both = ids(exact(read), "fresh").join(ids(coarse(read, 127), "cached"), "query_id", "left")
-    share = tx.rounded(F.size(F.array_intersect("fresh", F.coalesce("cached", F.array().cast("array<bigint>")))) / F.greatest(F.lit(1), F.size("fresh")), 3)
+    """How far the results that the nearest other question has in a cache agree with each question's fresh ones."""
+    share = F.col("overlap")
     label = F.when(share >= 0.75, "high").when(share >= 0.45, "medium").otherwise("low")
-    return both.select("query_id", share.alias("overlap"), (share >= 0.66).alias("agrees"), label.alias("label"))
+    return shadow(read).select("query_id", "cached", "similarity", "overlap", (share >= 0.66).alias("agrees"), label.alias("label"))
 
 
 @query()
@@ -233,3 +231,26 @@ def fixed_digits(read):
     price, number = F.col("l_extendedprice").cast("double"), lambda c: F.col(c).cast("double")
     x = read("lineitem").select("l_orderkey", "l_linenumber", (price / 8).alias("a"), (price * (1 - number("l_discount")) * (1 + number("l_tax"))).alias("b"), (F.col("l_partkey") % 1000 + 0.005).alias("c"))
     return x.select("l_orderkey", "l_linenumber", *[tx.to_fixed(F.col(c), 2).alias(c) for c in "abc"])
+
+
+@query(f"""WITH s AS (SELECT item_id, list_transform(regexp_extract_all(lower(left(text, 12000)), '[\\p{{L}}\\p{{N}}]+'), lambda w: {STEM}) AS s FROM benchmark),
+f AS (SELECT item_id, unnest(s) AS f, 1.0::DOUBLE AS w FROM s UNION ALL SELECT item_id, unnest(list_transform(generate_series(1, len(s) - 1), lambda i: s[i] || ' ' || s[i + 1])), 0.75 FROM s WHERE len(s) > 1),
+g AS (SELECT item_id, {FNV.format('f')} % 256 AS bucket, CASE WHEN {FNV.format("'sign:' || f")} % 2 = 0 THEN w ELSE -w END AS w FROM f), b AS (SELECT item_id, bucket, sum(w) AS x FROM g GROUP BY 1, 2), n AS (SELECT item_id, sqrt(sum(x * x)) AS n FROM b GROUP BY 1)
+SELECT item_id, bucket, {r('CASE WHEN n > 0 THEN x / n ELSE 0 END', 6)} AS x FROM b JOIN n USING (item_id)""")
+def embed_signed_unit(read):
+    """Signed counts scaled to length 1."""
+    f = read("benchmark").select("item_id", F.explode(signed_hash(F.col("text"))).alias("f"))
+    b = f.groupBy("item_id", F.col("f.bucket").alias("bucket")).agg(F.sum("f.weight").alias("x"))
+    n = b.groupBy("item_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    return b.join(n, "item_id").select("item_id", "bucket", tx.rounded(F.when(F.col("n") > 0, F.col("x") / F.col("n")).otherwise(0.0), 6).alias("x"))
+
+
+@query(f"""WITH {SAMPLES} SELECT CASE WHEN grouping(user_id) = 1 THEN 'all' WHEN grouping(k % 2) = 1 THEN 'index' ELSE 'version' END AS scope, user_id AS index_id, k % 2 AS version, count(*) AS evicted, sum(count(*)) FILTER (WHERE grouping(user_id) = 1) OVER () - count(*) AS kept
+FROM s GROUP BY GROUPING SETS ((user_id, k % 2), (user_id), ())""".replace("sum(count(*)) FILTER (WHERE grouping(user_id) = 1) OVER ()", "(SELECT count(*) FROM s)"))
+def cache_invalidations(read):
+    """What each invalidation would take and leave: of an index's version, of an index, of all."""
+    rows = samples(read).select(F.col("user_id").alias("index_id"), (F.col("k") % 2).alias("version"))
+    sets = rows.groupingSets([["index_id", "version"], ["index_id"], []], "index_id", "version").agg(F.count("*").alias("evicted"), F.grouping_id("index_id", "version").alias("g"))
+    scope = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "index").otherwise("version")
+    total = rows.agg(F.count("*").alias("total"))
+    return sets.join(F.broadcast(total), F.lit(True)).select(scope.alias("scope"), "index_id", "version", "evicted", (F.col("total") - F.col("evicted")).alias("kept"))

@@ -17,7 +17,7 @@ from .quality import (
     ANSWERED, EXPECTED, FAITH, FILLER_LIST, JUDGED, PLAN, QUESTIONS, RELEVANCE, STEM_W, SYNONYM_MAP, WINDOW, answered, any_like, asked, drift_report, embedded_sql, expected, has_any, like, redacted_sql, sql_string,
 )
 from .registry import ORACLES, query
-from .retrieval import B, CHUNKS, CODES, DENSE, EDGES, FLAT, GRAPH, GUESS, HYBRID, STEMSET, SUM, VECTOR_SCORES, WORDS, all_chunks, buckets, candidates, dense, found_entities, questions
+from .retrieval import B, CHUNKS, CODES, DENSE, EDGES, FLAT, GRAPH, GUESS, HYBRID, NEAR_QUESTION, STEMSET, SUM, VECTOR_SCORES, WORDS, all_chunks, buckets, candidates, dense, found_entities, near_question, questions, shadow
 
 REWRITTEN = rf"""p AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(lower(t), '[^a-z0-9_\s''-]', ' ', 'g'), {B}), '\s+'), lambda w: w <> '' AND w NOT IN {FILLER_LIST}), ' ') AS w FROM q),
 rw AS (SELECT conv_id, turn, t, CASE WHEN w <> '' AND w <> lower(trim(t, {B})) THEN w END AS rewritten FROM p)"""
@@ -130,23 +130,26 @@ def route_refined(read):
 INTENT = "CASE " + " ".join(f"WHEN {like(p)} THEN {sql_string(n)}" for n, p, _ in understand.INTENTS) + " ELSE 'unknown' END"
 
 
-@query(rf"""WITH {DENSE}, va AS (SELECT item_id, greatest(0, least(1, 1.0::DOUBLE / 64 - pow(sum(c) / sqrt(sum(c * c)) / 64, 2))) AS v FROM qb GROUP BY 1),
-z AS (SELECT q.item_id AS query_id, {INTENT} AS kind, len(list_filter(regexp_split_to_array(trim(t, {B}), '\s+'), lambda w: w <> '')) AS n, coalesce(v, 0) AS v FROM (SELECT item_id, text AS t FROM benchmark) q LEFT JOIN va USING (item_id))
-SELECT query_id, kind, CASE WHEN kind IN ('factual', 'procedural') AND n <= 10 AND v <= 0.45 THEN 0.95 WHEN kind IN ('unknown', 'exploratory', 'comparative') OR n > 18 OR v >= 0.65 THEN 0.85 ELSE 0.9 END::DOUBLE AS threshold FROM z""")
+@query(rf"""WITH {DENSE}, {NEAR_QUESTION}, va AS (SELECT item_id, greatest(0, least(1, 1.0::DOUBLE / 64 - pow(sum(c) / sqrt(sum(c * c)) / 64, 2))) AS v FROM qb GROUP BY 1),
+z AS (SELECT q.item_id AS query_id, {INTENT} AS kind, len(list_filter(regexp_split_to_array(trim(t, {B}), '\s+'), lambda w: w <> '')) AS n, coalesce(v, 0) AS v FROM (SELECT item_id, text AS t FROM benchmark) q LEFT JOIN va USING (item_id)),
+y AS (SELECT z.query_id, kind, coalesce(overlap, 0.6::DOUBLE) AS quality, CASE WHEN kind IN ('factual', 'procedural') AND n <= 10 AND v <= 0.45 THEN 0.95 WHEN kind IN ('unknown', 'exploratory', 'comparative') OR n > 18 OR v >= 0.65 THEN 0.85 ELSE 0.9 END::DOUBLE AS base FROM z LEFT JOIN shadow USING (query_id))
+SELECT query_id, kind, quality, {r('CASE WHEN quality < 0.45 THEN least(0.97::DOUBLE, base + 0.03::DOUBLE) ELSE base END', 2)} AS threshold FROM y""")
 def cache_thresholds(read):
-    """The similarity that a cached answer needs for each question."""
+    """The similarity that a cached answer needs for each question; more where a cached one, the nearest other question's, was poor."""
     q = questions(read).withColumn("kind", understand.intent(F.col("question"))["intent"]).withColumn("e", lexical(F.col("question"))).withColumn("v", variance(F.col("e")))
-    return q.select("query_id", "kind", understand.cache_threshold(F.col("question"), F.col("kind"), F.col("v"), F.lit(1.0)).alias("threshold"))
+    q = q.join(shadow(read).select("query_id", "overlap"), "query_id", "left").withColumn("quality", F.coalesce("overlap", F.lit(0.6)))
+    return q.select("query_id", "kind", "quality", understand.cache_threshold(F.col("question"), F.col("kind"), F.col("v"), F.col("quality")).alias("threshold"))
 
 
-@query(f"""WITH {HYBRID}, c AS (SELECT query_id, chunk_id FROM h WHERE hybrid_rank <= 3),
+@query(f"""WITH {DENSE}, {NEAR_QUESTION}, c AS (SELECT n.query_id, r.chunk_id FROM nearest n JOIN ranked r ON r.query_id = n.cached AND rank <= 5 WHERE similarity < 0.92),
 b AS (SELECT r.query_id, r.chunk_id, r.rank, c.chunk_id IS NOT NULL AS boosted, CASE WHEN c.chunk_id IS NULL THEN r.score ELSE floor((r.score + 0.03) * 1e6 + 0.5) / 1e6 END AS score FROM ranked r LEFT JOIN c ON c.query_id = r.query_id AND c.chunk_id = r.chunk_id WHERE rank <= 15)
 SELECT query_id, chunk_id AS id, rank, boosted, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM b""")
 def cache_boosted(read):
-    """Candidates for reranking, three for each result wanted, those of a near-miss cached result a little higher."""
+    """Candidates for reranking, three for each result wanted, those of a near miss in the cache (a question that is like this one, but not enough) a little higher."""
     k = 5
     d = dense(read, max(3 * k, k + 2, 5))
-    cached = hybrid(candidates(read, 20)).where("hybrid_rank <= 3").select("query_id", "id", F.lit(True).alias("boosted"))
+    missed = near_question(read).where("similarity < 0.92").select("query_id", "cached")
+    cached = missed.join(d.where(F.col("rank") <= k).select(F.col("query_id").alias("cached"), "id"), "cached").select("query_id", "id", F.lit(True).alias("boosted"))
     b = d.join(cached, ["query_id", "id"], "left").withColumn("boosted", F.coalesce("boosted", F.lit(False)))
     b = b.withColumn("score", F.when(F.col("boosted"), tx.rounded(F.col("score") + 0.03, 6)).otherwise(F.col("score")))
     return b.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")))
@@ -446,12 +449,6 @@ SELECT decision, count(*) AS n FROM z GROUP BY 1""")
 def guardrail_summary(read):
     """Decisions on answers, with a review of those that are long beside their context and name no source."""
     return safety.guard(answered(read), "answer", context="question").groupBy("decision").agg(F.count("*").alias("n"))
-
-
-ORACLES["shadow_evaluation"] = f"""WITH f AS (WITH {VECTOR_SCORES} SELECT query_id, list(id) AS fresh FROM ranked WHERE rank <= 5 GROUP BY 1), c AS (SELECT query_id, list(id) AS cached FROM (WITH {CODES.format(127)}) GROUP BY 1),
-o AS (SELECT query_id, {r('len(list_intersect(fresh, coalesce(cached, []))) / greatest(1, len(fresh))::DOUBLE', 3)} AS overlap FROM f LEFT JOIN c USING (query_id))
-SELECT query_id, overlap, overlap >= 0.66 AS agrees, CASE WHEN overlap >= 0.75 THEN 'high' WHEN overlap >= 0.45 THEN 'medium' ELSE 'low' END AS label FROM o"""
-
 ORACLES["quantisation_experiment"] = f"""WITH w AS (WITH {VECTOR_SCORES} SELECT query_id, id AS want FROM ranked WHERE rank = 1), a AS (WITH {CODES.format(127)}), b AS (WITH {CODES.format(7)}),
 z AS (SELECT count(*) AS n, sum(len(embedding)) AS cells, sum(len(embedding) // 2 + 1) AS pairs FROM embeddings),
 p(precision, recall_at_1) AS (SELECT 'fp32', 1.0::DOUBLE UNION ALL SELECT 'int8', {r('(SELECT avg(CASE WHEN want = id THEN 1.0 ELSE 0.0 END) FROM w JOIN a USING (query_id) WHERE rank = 1)', 4)}

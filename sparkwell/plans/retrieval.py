@@ -62,6 +62,28 @@ def candidates(read, k: int):
     return near.join(questions(read), "query_id")
 
 
+#: The nearest other question of each: what a cache of answered questions would offer.
+NEAR_QUESTION = """nq AS (SELECT a.item_id AS query_id, b.item_id AS cached, floor(sum(a.c * b.c) / (max(x.n) * max(y.n)) * 1e6 + 0.5) / 1e6 AS similarity FROM qb a JOIN qb b ON a.bucket = b.bucket AND a.item_id <> b.item_id JOIN qn x ON x.item_id = a.item_id JOIN qn y ON y.item_id = b.item_id GROUP BY 1, 2),
+nearest AS (SELECT * FROM nq QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, cached) = 1),
+five AS (SELECT query_id, list(chunk_id ORDER BY rank) AS ids FROM ranked WHERE rank <= 5 GROUP BY 1),
+shadow AS (SELECT n.query_id, n.cached, similarity, floor(len(list_intersect(f.ids, c.ids)) / greatest(1, len(f.ids))::DOUBLE * 1e3 + 0.5) / 1e3 AS overlap FROM nearest n JOIN five f ON f.query_id = n.query_id JOIN five c ON c.query_id = n.cached)"""
+
+
+def near_question(read):
+    """(query_id, cached, similarity): each question's nearest other one."""
+    q = questions(read).select("query_id", lexical(F.col("question")).alias("qv"))
+    two = topk(q, q.select(F.col("query_id").alias("id"), F.col("qv").alias("v")), 2, digits=6).where("id <> query_id")
+    best = F.min_by(F.struct(F.col("id").alias("cached"), F.col("score").alias("similarity")), "rank").alias("b")
+    return two.where("score > 0").groupBy("query_id").agg(best).select("query_id", "b.*")
+
+
+def shadow(read):
+    """(query_id, cached, similarity, overlap): how much of a question's own five results those of the nearest other one have."""
+    five = dense(read, 5).groupBy("query_id").agg(F.collect_set("id").alias("ids"))  # five
+    met = near_question(read).join(five, "query_id").join(five.select(F.col("query_id").alias("cached"), F.col("ids").alias("old")), "cached")
+    return met.select("query_id", "cached", "similarity", tx.rounded(F.size(F.array_intersect("ids", "old")) / F.greatest(F.lit(1), F.size("ids")), 3).alias("overlap"))
+
+
 @query(f"WITH {CHUNKS} SELECT chunk_id, doc_id, n AS section_chunk_index, md5(text) AS text_md5, start_offset, start_offset + length(text) AS end_offset FROM chunks")
 def chunk_documents(read):
     return all_chunks(read).select("chunk_id", "doc_id", "section_chunk_index", F.md5("text").alias("text_md5"), "start_offset", "end_offset")
