@@ -204,15 +204,20 @@ def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2):
 
 
 def labelled_rows(docs: DataFrame, *, most: int = TRAINING_ROWS) -> DataFrame:
-    """(text, lang) of rows outside the held-out fold that have both, about ``most`` of them, drawn by a hash of their ids and places.
+    """(text, lang) of rows outside the held-out fold that have both, about ``most`` of them, drawn by a hash of their ids and texts.
 
-    The place takes part, so that rows which share an id, or have none, are drawn one by one.
+    So the same rows are drawn however the table's files are split, and rows which share an id, or have none, are drawn by their texts. Where
+    equal rows are so many that over twice as many would be drawn, they are drawn by their places too.
     """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = max(known.count(), 1)
     if n <= most:
         return known.select("text", "lang")
-    return known.where(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n)) < most).select("text", "lang")
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) < most)
+    rows = drawn.count()
+    if rows > 2 * most:
+        drawn = drawn.where(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(rows)) < most)
+    return drawn.select("text", "lang")
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

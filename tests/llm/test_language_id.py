@@ -68,6 +68,10 @@ def test_draw_is_bounded_for_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert li.labelled_rows(docs).count() == 4000
     assert 300 < li.labelled_rows(docs, most=500).count() < 700
+    drawn = {tuple(r) for r in li.labelled_rows(docs, most=500).collect()}
+    assert drawn == {tuple(r) for r in li.labelled_rows(docs.repartition(7, "text"), most=500).collect()}  # however the rows lie
+    same = spark.createDataFrame([(None, "one text", "xa")] * 4000, docs.schema)
+    assert li.labelled_rows(same, most=500).count() < 700
 
 
 def test_nothing_to_learn_from(spark):
