@@ -96,6 +96,16 @@ def trigrams(text) -> Column:
     return let(F.array_join(words(text), ""), of)
 
 
+def ngrams(text, n: int = 3) -> Column:
+    """The distinct character n-grams of the lower-cased text without white space; a shorter text is its own."""
+
+    def of(flat: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(flat) - n + 1), lambda i: F.substring(flat, i, F.lit(n)))
+        return F.when(F.length(flat) >= n, F.array_distinct(grams)).when(F.length(flat) > 0, F.array(flat)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_replace(F.lower(nfkc(text)), r"\s+", ""), of)
+
+
 def hash31(word: Column) -> Column:
     """The polynomial hash of base 31 in 32 unsigned bits."""
     return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda h, c: (h * 31 + F.ascii(c)) % 4294967296)

@@ -89,6 +89,19 @@ def intent(query: Column) -> Column:
     return F.when(trimmed(query) == "", F.struct(F.lit("unknown").alias("intent"), F.lit(0.0).alias("confidence"))).otherwise(found)
 
 
+def processed(query: Column, given: Column | None = None) -> Column:
+    """Struct (original, rewritten, expanded, intent, confidence) of a query: trimmed, rewritten, expanded as rewritten, its intent told from the original.
+
+    An intent that the caller gives takes the place of the one found, if there is such an intent; the confidence stays that of what was found. An empty
+    or null query is unknown with 0, without expansions.
+    """
+    text = trimmed(F.coalesce(query, F.lit("")))
+    found = intent(text)
+    kind = found["intent"] if given is None else F.when(given.isin(*[name for name, _, _ in INTENTS], "unknown") & (text != ""), given).otherwise(found["intent"])
+    more = F.when(text != "", expand(F.coalesce(rewrite(text), text))).otherwise(F.array().cast("array<string>"))
+    return F.struct(text.alias("original"), rewrite(text).alias("rewritten"), more.alias("expanded"), kind.alias("intent"), found["confidence"].alias("confidence"))
+
+
 def plan(query: Column, graph: bool = True, raptor: bool = True, hyde: bool = True, grounded: bool = True) -> Column:
     """Struct (complexity, ambiguity, risk, mode, execution_mode) of the retrieval that suits a query."""
     has = {name: query.rlike(f"(?i){pattern}") for name, pattern in CATEGORIES.items()}
@@ -147,11 +160,12 @@ def routing_features(query: Column) -> Column:
 CHEAP, BALANCED, STRONG = "local-extractive", "ollama", "groq"
 
 
-def route(features: Column, cheap: Column | None = None, quality: Column | None = None) -> Column:
-    """The model that suits the features, before anything is retrieved."""
+def route(features: Column, cheap: Column | None = None, quality: Column | None = None, forced: Column | None = None) -> Column:
+    """The model that suits the features, before anything is retrieved; one of the three that is ``forced`` goes before all else."""
     no = F.lit(False)
     return (
-        F.when(no if cheap is None else cheap, CHEAP).when(no if quality is None else quality, STRONG)
+        F.when(F.lit(None).isin(CHEAP) if forced is None else forced.isin(CHEAP, BALANCED, STRONG), forced if forced is not None else F.lit(None).cast("string"))
+        .when(no if cheap is None else cheap, CHEAP).when(no if quality is None else quality, STRONG)
         .when((features["tokens"] <= 10) & (features["complexity"] < 0.35), CHEAP)
         .when(features["reasoning"] | features["comparative"], STRONG)
         .otherwise(BALANCED)
