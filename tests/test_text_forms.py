@@ -60,3 +60,24 @@ def test_rounding_by_the_exact_value(spark):
     assert rows[-3].d2 is None and rows[-2].d2 != rows[-2].d2 and rows[-1].d2 == float("inf")
     found = {row.x: row.d2 for row in rows[:5]}
     assert found == {1.005: 1.0, 8.345: 8.35, 1.115: 1.11, 0.125: 0.13, 0.375: 0.38}
+
+
+def test_whole_processed_queries(spark):
+    rows = [("  What is RAG  ", None), ("compare agents", "procedural"), ("compare agents", "no such intent"), (" ", "factual"), (None, "factual"), ("Ｃｏｍｐａｒｅ agents", "unknown")]
+    got = [r.p for r in spark.createDataFrame(rows, "q string, given string").select(understand.processed(F.col("q"), F.col("given")).alias("p")).collect()]
+    plain = [r.p for r in spark.createDataFrame(rows[:3], "q string, given string").select(understand.processed(F.col("q")).alias("p")).collect()]
+    assert got[0] == plain[0] and got[0].original == "What is RAG"
+    assert (got[1].intent, got[1].confidence) == ("procedural", plain[1].confidence) and got[2] == plain[2] and plain[1].intent != "procedural"
+    for empty in got[3:5]:
+        assert (empty.original, empty.rewritten, list(empty.expanded), empty.intent, empty.confidence) == ("", None, [], "unknown", 0.0)
+    assert got[5].intent == "unknown" and got[5].rewritten == "compare agents"
+
+
+def test_forced_models_and_ngrams(spark):
+    f = understand.routing_features(F.lit("why does this happen and what is the tradeoff between both of them"))
+    one = spark.range(1).select(
+        understand.route(f).alias("free"), understand.route(f, forced=F.lit("ollama")).alias("forced"), understand.route(f, cheap=F.lit(True), forced=F.lit("groq")).alias("first"),
+        understand.route(f, cheap=F.lit(True), forced=F.lit("other")).alias("unknown"), tx.ngrams(F.lit("A b\tab a"), 2).alias("two"), tx.ngrams(F.lit("ab"), 3).alias("short"), tx.ngrams(F.lit(" \n")).alias("none"),
+    ).first()
+    assert (one.forced, one["first"], one["unknown"]) == ("ollama", "groq", "local-extractive") and one.free in ("groq", "ollama")
+    assert (list(one.two), list(one.short), list(one.none)) == (["ab", "ba"], ["ab"], [])
