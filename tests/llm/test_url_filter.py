@@ -22,7 +22,7 @@ def reverse(links):
     return [(b, a, n) for a, b, n in links]
 
 
-@pytest.mark.parametrize("steps", [1, 4, 40])
+@pytest.mark.parametrize("steps", [4, 12])
 def test_propagation(spark, monkeypatch, steps):
     monkeypatch.setattr(uf, "STEPS", steps)
     links = [("a", "b", 3), ("b", "c", 1), ("c", "a", 1), ("b", "d", 1), ("e", "a", 2), ("f", "e", 1)]
@@ -87,7 +87,7 @@ def test_verdicts_against_brute_force(spark):
     assert {x.verdict for x in got.values() if x.rule is None} == {"allow", "block"}
 
 
-@pytest.mark.parametrize("steps", [4, 8, 3])
+@pytest.mark.parametrize("steps", [4, 8])
 def test_no_verdict_hangs_on_the_steps(spark, monkeypatch, steps):
     """A chain of hosts to a blocked seed, a farm around another, and a popular site with one bad link."""
     monkeypatch.setattr(uf, "STEPS", steps)
