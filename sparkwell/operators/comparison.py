@@ -76,8 +76,11 @@ GROUNDED, RECALL, REFUSED, BETTER, LATENCY, COST, CHANGED = 0.02, 0.01, 0.01, 0.
 
 
 def variant_metrics(runs: DataFrame) -> DataFrame:
-    """(variant, n, avg_<score> ..., avg_latency_ms, avg_cost_usd, refusal_rate) of RUN rows; null scores count 0."""
-    mean = lambda c: F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    """(variant, n, avg_<score> ..., avg_latency_ms, avg_cost_usd, refusal_rate) of RUN rows; null scores count 0.
+
+    Six digits of each number are summed as integers, so that means are the same in whatever order rows come.
+    """
+    mean = lambda c: tx.exact_mean(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 1_000_000)
     names = ("faithfulness", "relevance", "recall", "groundedness", "quality", "latency_ms", "cost_usd")
     return runs.groupBy("variant").agg(F.count("*").alias("n"), *[mean(c).alias(f"avg_{c}") for c in names], F.avg(F.coalesce("refused", F.lit(False)).cast("double")).alias("refusal_rate"))
 

@@ -65,7 +65,7 @@ def runs(read) -> DataFrame:
 
 
 AVERAGES = ("faithfulness", "relevance", "recall", "groundedness", "quality", "latency_ms")
-METRICS_SQL = f"""{RUNS_SQL}, metrics AS (SELECT variant, count(*) AS n, {", ".join(f"avg({c}) AS avg_{c}" for c in (*AVERAGES, "cost_usd"))}, avg(CASE WHEN refused THEN 1.0::DOUBLE ELSE 0.0 END) AS refusal_rate FROM runs GROUP BY 1)"""
+METRICS_SQL = f"""{RUNS_SQL}, metrics AS (SELECT variant, count(*) AS n, {", ".join(f"sum(CAST(round({c} * 1000000) AS BIGINT))::DOUBLE / (1000000 * count(*)) AS avg_{c}" for c in (*AVERAGES, "cost_usd"))}, avg(CASE WHEN refused THEN 1.0::DOUBLE ELSE 0.0 END) AS refusal_rate FROM runs GROUP BY 1)"""
 
 
 @query(f"WITH {METRICS_SQL} SELECT variant, n, {', '.join(f'{r(f'avg_{c}', 4)} AS avg_{c}' for c in AVERAGES)}, {r('avg_cost_usd', 6)} AS avg_cost_usd, {r('refusal_rate', 4)} AS refusal_rate FROM metrics")
