@@ -2,40 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where that setting is missing, a master within this process gets a temporary folder; any other is refused, since
-    its executors could not read what the driver or each other wrote. What is left in this application's part of the folder
-    goes when its JVM ends.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkwell-"))
-    mine = context._jsc.sc().getCheckpointDir().get()
-    if mine not in _leaving:
-        _leaving.add(mine)
-        path = context._jvm.org.apache.hadoop.fs.Path(mine)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return mine.rstrip("/")
-
-
-_leaving: set[str] = set()
+from ..session import shared_folder, spread, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,17 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: no lineage, compressed.
-
-    The table stays until the application ends, as what is made of it may be computed at any time; ``erase`` takes it away before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def erase(table: DataFrame) -> None:
     """Deletes the files that ``written`` made for ``table``; other tables are left alone."""
     context = table.sparkSession.sparkContext

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import written
 from .components import components
-from .graph import DEPTH, entities, relation_type, steps
+from .graph import DEPTH, both_ways, entities, relation_type, steps
 
 #: Parts of the store by node, so that a lookup reads its own.
 BUCKETS = 16
@@ -146,8 +147,8 @@ def strongest(width: int = 3, depth: int = DEPTH) -> Traversal:
     """A strategy that follows the strongest ways only: at each depth a query's ``width`` best new targets, by the product of confidences along the way."""
 
     def walk(hits: DataFrame, links: DataFrame) -> DataFrame:
-        both = links.select(F.col("source").alias("label"), F.col("target").alias("to"), "confidence").unionByName(links.select(F.col("target").alias("label"), F.col("source").alias("to"), "confidence"))
-        seen = hits.select("query_id", "label").distinct()
+        both = both_ways(links)
+        seen = written(hits.select("query_id", "label").distinct(), "seen")
         front, out = seen.withColumn("way", F.lit(1.0)), None
         for level in range(1, depth + 1):
             met = front.join(both, "label").select("query_id", F.col("label").alias("source"), F.col("to").alias("target"), "confidence", (F.col("way") * F.col("confidence")).alias("way"))
@@ -155,7 +156,8 @@ def strongest(width: int = 3, depth: int = DEPTH) -> Traversal:
             # Of several ways to a target the best, then the first source; then the best targets.
             one = Window.partitionBy("query_id", "target").orderBy(F.desc("way"), "source")
             best = new.withColumn("n", F.row_number().over(one)).where("n = 1")
-            step = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("way"), "target"))).where(F.col("n") <= width)
+            # Written: ``width`` rows a query at most, which Spark then knows to be few beside the edges.
+            step = written(best.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("way"), "target"))).where(F.col("n") <= width), "step")
             told = step.select("query_id", "source", "target", F.lit(level).alias("depth"), "confidence")
             out = told if out is None else out.unionByName(told)
             front = step.select("query_id", F.col("target").alias("label"), "way")

@@ -348,8 +348,7 @@ def score_summary(read):
 o AS (SELECT node, other, chunks, row_number() OVER (PARTITION BY node ORDER BY least(1.0::DOUBLE, 0.52 + 0.08 * (chunks - 1)) DESC, other) AS place FROM w) SELECT node, other, place FROM o WHERE place <= 2""")
 def strongest_edges(read):
     """The two edges of each entity that are walked first."""
-    e = graph.edges(found_entities(read))
-    both = e.select(F.col("source").alias("node"), F.col("target").alias("other"), "confidence").unionByName(e.select(F.col("target").alias("node"), F.col("source").alias("other"), "confidence"))
+    both = graph.both_ways(graph.meetings(graph.labels(all_chunks(read)))).withColumnsRenamed({"label": "node", "to": "other"})
     return both.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("confidence"), "other"))).where("place <= 2").select("node", "other", "place")
 
 
