@@ -9,6 +9,7 @@ from ..functions import safety, scoring, understand
 from ..functions import text as tx
 from ..functions.text import keywords
 from ..operators.search import hybrid, rerank
+from ..session import written
 from .operations import r
 from .registry import query
 from .retrieval import DENSE, HYBRID, WORDS, candidates, dense
@@ -236,15 +237,17 @@ def expected(read):
     hash_of = lambda words: F.xxhash64(F.lit(len(words)), *words)
     first = F.coalesce(*[F.when(F.least(F.size("w"), F.lit(ANCHOR)) == n, hash_of([F.get("w", F.lit(i)) for i in range(n)])) for n in widths], F.lit(None).cast("bigint"))
     items = items.select("query_id", first.alias("h"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("whole"))
-    docs = read("documents").select("doc_id", tx.words("text").alias("w"))
+    docs = read("documents").select("doc_id", "text")
     shifted = F.arrays_zip(*[F.col("w") if i == 0 else F.slice("w", i + 1, F.size("w")) for i in range(ANCHOR)])
-    rows = docs.select("doc_id", F.posexplode_outer(shifted).alias("pos", "z"))
+    rows = docs.select("doc_id", tx.words("text").alias("w")).select("doc_id", F.posexplode_outer(shifted).alias("pos", "z"))
     w = [F.col("z")[str(i) if i else "w"] for i in range(ANCHOR)]
     hashes = F.array(*[F.when(w[n - 1].isNotNull(), hash_of(w[:n])) for n in widths])
     met = rows.select("doc_id", F.explode_outer(hashes).alias("h")).join(items.select("h").distinct(), "h").distinct()
-    near = met.join(items, "h").join(docs, "doc_id")
-    flat = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    return near.where(F.contains(flat, F.col("whole"))).select("query_id", "doc_id").distinct()
+    # Written, so that Spark knows how few they are: documents are then not shuffled, and only those met are looked at again.
+    near = written(met.join(items, "h").select("doc_id", "query_id"), "met").join(docs, "doc_id").join(items, "query_id")
+    flat = F.concat(F.lit(" "), F.array_join(tx.words("text"), " "), F.lit(" "))
+    held = near.select("query_id", "doc_id", "whole", flat.alias("flat")).where(F.contains("flat", "whole"))
+    return written(held.select("query_id", "doc_id").distinct(), "expected")
 
 
 @query(f"""WITH {EXPECTED}, {DENSE}, top AS (SELECT query_id, c.doc_id, min(rank) AS rank FROM ranked JOIN chunks c USING (chunk_id) WHERE rank <= 10 GROUP BY 1, 2),

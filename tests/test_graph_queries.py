@@ -63,3 +63,48 @@ def test_expected_documents_hold_the_whole_item(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = quality.expected(lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")).collect()
     assert {(r.query_id, r.doc_id) for r in found} == {(1, 1), (2, 1), (2, 2), (2, 4)} and len(found) == 4
+
+
+def test_best_chunks_are_those_of_the_whole_join(spark, tmp_path):
+    """Scores, labels and ranks as if all reached entities met all their chunks, while few lines are scored whole."""
+    import random
+
+    r = random.Random(3)
+    names = [f"entity{i}" for i in range(300)]
+    found = {f"c{i}": r.sample(names[: 20 if i % 3 else 300], r.randint(1, graph.MOST)) for i in range(3000)}
+    rows = spark.createDataFrame([(c, x) for c, of in found.items() for x in of], "chunk_id string, label string")
+    hits = spark.createDataFrame([(q, names[7 * q + j], 0.5 + j / 10) for q in range(4) for j in range(3)] + [(9, "nowhere", 1.0), (8, "entity299", 0.3)], "query_id bigint, label string, score double")
+    walked = [(q, "x", x, r.choice([1, 2]), round(r.random() ** 6 + 0.1, 6)) for q in range(4) for x in names for _ in range(r.randint(0, 3))]
+    steps = spark.createDataFrame(walked, "query_id bigint, source string, target string, depth int, confidence double")
+    got = graph.chunk_scores(hits, steps, rows, 5).collect()
+    part = defaultdict(float)
+    for h in hits.collect():
+        part[h.query_id, h.label] += 0.8 * h.score
+    for q, _, x, d, c in walked:
+        part[q, x] += round(1 / (d + 1), 6) * c
+    for q in (0, 1, 2, 3, 8):
+        scores = {c: sum(part.get((q, x), 0) for x in of) for c, of in found.items() if any((q, x) in part for x in of)}
+        want = sorted(scores.values(), reverse=True)[:5]
+        mine = sorted((x for x in got if x.query_id == q), key=lambda x: x["rank"])
+        assert len(mine) == len(want) and all(abs(x.score - s) < 2e-6 and abs(scores[x.chunk_id] - s) < 2e-6 for x, s in zip(mine, want, strict=True))
+        assert all(x.labels == sorted(y for y in found[x.chunk_id] if (q, y) in part) for x in mine)
+    assert {x.query_id for x in got} == {0, 1, 2, 3, 8}
+    # The step from entities to chunks is written: it holds a part of what all entities would give.
+    import glob
+    whole = sum((q, x) in part for q in range(4) for of in found.values() for x in of)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert min(spark.read.parquet(f).count() for f in glob.glob(f"{folder}/lines-*")) < whole / 4
+
+
+def test_graph_is_read_once_and_edges_turned_without_a_second_count(spark):
+    """Edges in both directions come of one count of the pairs, and walks read what was written."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(QUERIES["strongest_edges"](spark, FOLDER)).count("regexp_extract_all") <= plan(QUERIES["graph_edges"](spark, FOLDER)).count("regexp_extract_all")
+    assert "regexp_extract_all" not in plan(QUERIES["graph_bfs_steps"](spark, FOLDER))
+    assert "regexp_extract_all" not in plan(QUERIES["graph_strongest_steps"](spark, FOLDER))
+
+
+def test_documents_are_not_shuffled_to_meet_items(spark):
+    read = lambda t: spark.read.parquet(f"{FOLDER}/{t}.parquet")
+    found = quality.expected(read)
+    assert found.inputFiles() and "documents" not in "".join(found.inputFiles())  # written once, however often it is read
