@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 LEXICAL_WIDTH = 64
+#: Words whose buckets a worker remembers.
+REMEMBERED = 1 << 16
 
 
 def _plural(word: str) -> str:
@@ -45,7 +47,7 @@ def lexical(text: Column, width: int = LEXICAL_WIDTH) -> Column:
                         h = 0
                         for c in _plural(word):
                             h = (h * 31 + ord(c)) & 0xFFFFFFFF
-                        if len(bucket) > 500_000:
+                        if len(bucket) >= REMEMBERED:
                             bucket.clear()
                         at = bucket[word] = h % width
                     counts[at] += 1

@@ -13,6 +13,8 @@ from ..functions import text as tx
 
 #: Rows of a block of vectors and of a block of queries; a task holds one of each. As many queries are broadcast at most.
 ROWS, QUERIES = 8192, 4096
+#: Scores that a task holds at once; of more queries than that allows it takes some after others.
+CELLS = 1 << 20
 
 
 def _scores(a: np.ndarray, b: np.ndarray, digits: int) -> np.ndarray:
@@ -32,6 +34,18 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return rows[found > -np.inf], ids[at][found > -np.inf], found[found > -np.inf]
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, digits: int, mine: np.ndarray | None = None, theirs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_best`` gives for the rows of ``a`` among those of ``b``, of CELLS scores at a time; only where ``mine`` equals ``theirs``, if given."""
+    found, step = [], max(1, CELLS // len(b))
+    for at in range(0, len(a), step):
+        scores = _scores(a[at : at + step], b, digits)
+        if mine is not None:
+            scores[mine[at : at + step, None] != theirs[None, :]] = -np.inf
+        rows, near, values = _best(scores, ids, k)
+        found.append((rows + at, near, values))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 9, within: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """(query_id, id, score, rank, and the columns to ``carry``): each query's k nearest of all vectors; ties go to the smaller id.
 
@@ -55,10 +69,8 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 9, wi
         for pdf in batches:
             if not len(pdf) or not len(a):
                 continue
-            new = _scores(a, np.array(pdf["v"].to_list(), np.float64), digits)
-            if within:
-                new[few[within].to_numpy()[:, None] != pdf[within].to_numpy()[None, :]] = -np.inf
-            rows, found, values = _best(new, pdf["id"].to_numpy(), k)
+            sides = (few[within].to_numpy(), pdf[within].to_numpy()) if within else ()
+            rows, found, values = _nearest(a, np.array(pdf["v"].to_list(), np.float64), pdf["id"].to_numpy(), k, digits, *sides)
             number, ids, scores = np.concatenate([number, rows]), np.concatenate([ids, found.astype(object)]), np.concatenate([scores, values])
             order = np.lexsort((np.unique(ids, return_inverse=True)[1], -scores, number))
             number, ids, scores = number[order], ids[order], scores[order]
@@ -92,10 +104,8 @@ def _topk_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, digits: int,
     def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame({c: [] for c in ("query_id", "id", "score", *carry)})
-        scores = _scores(np.array(q["qv"].to_list(), np.float64), np.array(v["v"].to_list(), np.float64), digits)
-        if within:
-            scores[q[within].to_numpy()[:, None] != v[within].to_numpy()[None, :]] = -np.inf
-        rows, ids, values = _best(scores, v["id"].to_numpy(), k)
+        sides = (q[within].to_numpy(), v[within].to_numpy()) if within else ()
+        rows, ids, values = _nearest(np.array(q["qv"].to_list(), np.float64), np.array(v["v"].to_list(), np.float64), v["id"].to_numpy(), k, digits, *sides)
         out = pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "id": ids, "score": values})
         return out.merge(v[["id", *carry]].drop_duplicates("id"), on="id", how="left") if carry else out
 
