@@ -72,7 +72,7 @@ def candidates(keyed: DataFrame) -> DataFrame:
     """(a, b), a < b: each row of a bucket with the bucket's first row, and with one drawn by hash.
 
     So work grows with the rows, whatever a bucket holds. Both are minima, made before anything is shuffled; a bucket that very many rows share makes a
-    skewed join of numbers. What a band's first row is too far from meets others in other bands.
+    skewed join of numbers. ``rest`` gives the pairs that are still to be looked at.
     """
     rows = keyed.select("row", F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("order"), F.explode("keys").alias("key"))
     drawn = F.struct(F.xxhash64("key", "row").alias("h"), "row")
@@ -81,6 +81,19 @@ def candidates(keyed: DataFrame) -> DataFrame:
     return met.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
 
 
+def rest(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of a bucket whose rows are not in one group yet; ``groups`` are (node, root), rows that it lacks are groups of their own.
+
+    Pairs within a group can join nothing more, so a bucket of one group gives none, however large; what does not link with its bucket's others is
+    compared with each of them.
+    """
+    rows = keyed.select("row", F.explode("keys").alias("key")).join(groups.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"))
+    mixed = cut(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
+    left = cut(rows.join(mixed, "key"))
+    right = left.select("key", F.col("row").alias("b"), F.col("root").alias("other"))
+    return left.join(right, "key").where("row < b and root <> other").select(F.col("row").alias("a"), "b").distinct()
+
+
 def verified(pairs: DataFrame, rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose texts have at least ``similar`` of their shingles in common; ``rows`` are (row, text)."""
 
@@ -101,14 +114,17 @@ def verified(pairs: DataFrame, rows: DataFrame, similar: float = SIMILAR) -> Dat
 def near_copies(rows: DataFrame, *, row: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row): the rows that go so that one of each group of near copies stays, that of the smallest id (null ids last), then of the smallest number.
 
-    Groups are joined by pairs whose exact shingle overlap is at least SIMILAR; pairs are looked at if their texts agree in a band and one is
-    the first, or the drawn one, of the bucket. So every row that goes is, through such pairs, a near copy of the one that stays. ``row`` must number
+    Groups are joined by pairs whose exact shingle overlap is at least SIMILAR; pairs are looked at if their texts agree in a band: those with the bucket's
+    first row and a drawn one, then all others whose rows these have not joined. So every row that goes is, through such pairs, a near copy of the one that stays. ``row`` must number
     the rows. Texts without words are no copies of anything; texts of fewer words than a shingle only of equal ones. Empty tables give none.
     """
     plain = rows.select(F.col(row).cast("bigint").alias("row"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     keyed = written(banded(plain), "bands")
     pairs = cut(candidates(keyed))
-    groups = cut(connected_components(cut(verified(pairs, plain))))
+    links = cut(verified(pairs, plain))
+    first = cut(connected_components(links))
+    others = cut(rest(keyed, first).join(pairs, ["a", "b"], "left_anti"))
+    groups = cut(connected_components(links.unionByName(verified(others, plain)))) if others.limit(1).count() else first
     order = F.struct(F.col("id").isNull().alias("none"), "id", F.col("node").alias("row"))
     members = groups.join(keyed.select(F.col("row").alias("node"), "id"), "node")
     stays = members.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row").alias("row"))

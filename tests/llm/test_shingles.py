@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline as cp
-from sparkwell.llm.shingles import near_copies
+from sparkwell.llm.shingles import candidates, near_copies, rest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -85,3 +85,31 @@ def test_planted_copies_are_found_by_the_stage(spark):
     # Of each group at least one text stays.
     gone = set(order) - kept
     assert not gone - brute_near_copies([(order[i], t) for i, t in rows], 0.5)
+
+
+def test_rows_that_their_buckets_first_ones_do_not_link(spark):
+    """Every pair of a bucket is looked at unless its rows are in one group, and no pair of a group is looked at again."""
+    keyed = spark.createDataFrame([(i, i, [7, 100 + i // 50]) for i in range(100)] + [(100, 100, [8]), (101, 101, [])], "row bigint, id bigint, keys array<bigint>")
+    met = {(x.a, x.b) for x in candidates(keyed).collect()}
+    groups = spark.createDataFrame([(i, 0) for i in range(40)] + [(i, 40) for i in range(40, 60)], "node bigint, root bigint")
+    root = {i: 0 if i < 40 else 40 if i < 60 else i for i in range(100)}
+    got = [(x.a, x.b) for x in rest(keyed, groups).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(100) for b in range(a + 1, 100) if root[a] != root[b]}
+    assert (61, 62) in got and (61, 62) not in met
+    assert not rest(keyed.where("row < 40"), groups).count()
+
+
+def test_links_apart_from_the_first_rows_join(spark):
+    """Chains of texts, each near the next and far from those beyond: none is left out because a bucket's first row is too far from it."""
+    r = random.Random(11)
+    rows = []
+    for c in range(30):
+        words = [f"c{c}w{i}" for i in range(400)]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(words)))
+            words = words[18:] + [f"x{r.randrange(10**9)}" for _ in range(18)]
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    named = [(order[i], t) for i, t in rows]
+    got = {x.row for x in near_copies(spark.createDataFrame(named, "doc_id bigint, text string").selectExpr("doc_id AS row", "doc_id", "text"), row="row").collect()}
+    assert got == brute_near_copies(named)
