@@ -47,13 +47,17 @@ def resolved(named: DataFrame) -> DataFrame:
     """(label, entity) of rows (label, aliases): labels that share an alias, directly or through others, are one entity, named by the first of them.
 
     Labels and aliases are the two sides of a graph whose components are found by ``components``; an alias that is itself a label
-    joins that too. A label without aliases is an entity of its own.
+    joins that too. A label without aliases is an entity of its own, and so is one whose aliases are no other label's: only what shares an alias goes on to
+    the components' rounds.
     """
     labels = named.select("label", F.explode_outer("aliases").alias("alias"))
     same = labels.select("label", "alias").distinct().join(named.select(F.col("label").alias("alias")).distinct(), "alias").select(F.concat(F.lit("l:"), "label").alias("a"), F.concat(F.lit("l:"), "alias").alias("b"))
     edges = labels.select(F.concat(F.lit("l:"), "label").alias("a"), F.coalesce(F.concat(F.lit("z:"), "alias"), F.concat(F.lit("l:"), "label")).alias("b"))
-    roots = components(edges.unionByName(same).distinct())
-    return roots.where(F.col("node").startswith("l:")).select(F.substring("node", 3, 1 << 30).alias("label"), F.substring("root", 3, 1 << 30).alias("entity"))
+    shared = edges.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("b")
+    roots = components(edges.join(shared, "b").select("a", "b").unionByName(same).distinct())
+    met = roots.where(F.col("node").startswith("l:")).select(F.substring("node", 3, 1 << 30).alias("label"), F.substring("root", 3, 1 << 30).alias("entity"))
+    alone = named.select("label").where("label is not null").distinct().join(met, "label", "left_anti")
+    return met.unionByName(alone.select("label", F.col("label").alias("entity")))
 
 
 def pairs(found: DataFrame, label: str = "label") -> DataFrame:

@@ -76,3 +76,12 @@ def test_strategies(spark, tmp_path):
     store.merge(spark.createDataFrame(TEXTS, "chunk_id string, text string"), "one")
     start = spark.createDataFrame([(1, "vector index")], "query_id int, label string")
     assert store.traverse(start).count() > store.traverse(start, gs.strongest(2)).count() == 4
+
+
+def test_only_shared_aliases_go_to_the_rounds(spark, monkeypatch):
+    given = []
+    find = gs.components
+    monkeypatch.setattr(gs, "components", lambda edges: (given.append(edges.count()), find(edges))[1])
+    named = spark.createDataFrame([("alone", ["x"]), ("one", ["y"]), ("two", ["y", "z"]), ("none", []), ("three", ["alone two"]), ("alone two", ["w"])], "label string, aliases array<string>")
+    got = {(r.label, r.entity) for r in gs.resolved(named).collect()}
+    assert got == {("alone", "alone"), ("one", "one"), ("two", "one"), ("none", "none"), ("three", "alone two"), ("alone two", "alone two")} and given == [3]
