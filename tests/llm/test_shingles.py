@@ -4,6 +4,9 @@ import random
 import re
 
 import corpus_pipeline as cp
+import numpy as np
+from sparkwell.llm import shingles as module
+from sparkwell.llm.common import connected_components
 from sparkwell.llm.shingles import candidates, near_copies, rest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,3 +116,61 @@ def test_links_apart_from_the_first_rows_join(spark):
     named = [(order[i], t) for i, t in rows]
     got = {x.row for x in near_copies(spark.createDataFrame(named, "doc_id bigint, text string").selectExpr("doc_id AS row", "doc_id", "text"), row="row").collect()}
     assert got == brute_near_copies(named)
+
+
+def test_a_group_of_texts_that_nearly_link_makes_no_row_for_each_pair(spark, monkeypatch):
+    """600 texts on one core, far enough apart that few link: rows grow with the texts' 20 buckets, not with the 179,700 pairs."""
+    r = random.Random(5)
+    core, rows = [f"core{i}" for i in range(300)], []
+    for _ in range(600):
+        rows.append((len(rows), planted(r, core, 0.035)))
+    docs = spark.createDataFrame(rows, "row bigint, text string").selectExpr("row", "row AS doc_id", "text").repartition(4)
+    made, real = [], type(docs).mapInArrow
+
+    def counted(df, *args, **kwargs):
+        made.append(df.count())
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    got = {x.row for x in near_copies(docs, row="row").collect()}
+    assert got == brute_near_copies(rows) and 0 < len(got) < 500
+    # A row is hashed twice, meets two others in each bucket at most, and is in one tile of each bucket; then links go to their components.
+    assert sum(made) < 70 * len(rows)
+
+
+def test_tiles_join_what_all_pairs_join(spark):
+    """Links of tiles, in one block or many, against all pairs: chains that groups cut through, buckets with one large group, rows in two buckets, long sets."""
+    r = random.Random(3)
+    at, sets, keys = 0, [], []
+    for i in range(300):
+        at += r.choice([5, 5, 5, 60])  # 95 or 40 of 100 in common with the last
+        sets.append(list(range(at, at + (100 if i % 90 else 900))))
+        keys.append([7] if i < 150 else [7, 8] if i < 160 else [8] if i < 280 else [100 + i // 2])
+    for i in range(280, 300):
+        sets[i] = sets[i - i % 2]  # buckets of two equal rows
+    keyed = spark.createDataFrame([(i, i, k) for i, k in enumerate(keys)], "row bigint, id bigint, keys array<bigint>")
+    hashed = spark.createDataFrame(list(enumerate(sets)), "row bigint, hashes array<bigint>").repartition(3)
+    groups = spark.createDataFrame([(i, 20) for i in range(20, 120)] + [(i, 130) for i in range(130, 140)], "node bigint, root bigint")
+    joined = lambda links: {tuple(x) for x in connected_components(links).collect()}
+    expected = joined(module.verified(rest(keyed, groups), hashed))
+    assert len(expected) > 100
+    for limits in ({}, {"block_rows": 8}, {"block_shingles": 1000}, {"block_rows": 1, "block_shingles": 1}):
+        assert joined(module.rest_links(keyed, groups, hashed, **limits)) == expected, limits
+    assert not module.rest_links(keyed.where("row between 20 and 119"), groups, hashed).count()
+
+
+def test_overlaps_of_sets_by_counting(spark):
+    """Hashes that one, few, many or all of the sets have, against intersections."""
+    r = random.Random(9)
+    for count, least in ((2, 0.8), (3, 0.5), (70, 0.6), (400, 0.7)):
+        sets = []
+        for i in range(count):
+            mine = set(range(40)) | {10**6 + i} | {50 + i % 3, 60 + i % 20, 100 + i % 150} | {r.randrange(-(2**63), 2**63) for _ in range(r.choice([0, 5, 30]))}
+            sets.append(sorted(mine - {r.randrange(40)}) if i % 50 else [*range(3000)])
+        roots = np.array([r.randrange(count) for _ in sets])
+        a, b = module.overlapping(np.array([x for s in sets for x in s]), np.array([len(s) for s in sets]), roots, least)
+        near = lambda x, y: len(x & y) >= least * len(x | y) - 1e-9
+        plain = [set(s) for s in sets]
+        expected = {(i, j) for i in range(count) for j in range(i + 1, count) if roots[i] != roots[j] and near(plain[i], plain[j])}
+        got = list(zip(a.tolist(), b.tolist(), strict=True))
+        assert len(got) == len(set(got)) and set(got) == expected
